@@ -10,7 +10,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastemill.functions.vectors import l2_normalize
+from tastemill.functions.vectors import l2_normalize, mean_vectors, vector_size
 from tastemill.plans.topk import METRICS, blocked_topk, top_k
 from tastemill.sources.tables import read_text, write_text
 
@@ -81,6 +81,9 @@ class VectorIndex:
         if index_type == "Flat":
             return cls(vectors, None, index_type, metric, nprobe)
         cells = max(1, min(nlist, vectors.count() // CELL_ROWS))
+        if cells == 1:
+            centroids = mean_vectors(vectors.withColumn("cell", F.lit(0)), ["cell"], "vector", vector_size(vectors, "vector"), "vector")
+            return cls(vectors.withColumn("cell", F.lit(0)), centroids, index_type, metric, nprobe)
         points = vectors.withColumn("features", array_to_vector("vector"))
         model = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="cell", maxIter=10).fit(points)
         centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]

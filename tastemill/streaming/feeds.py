@@ -43,7 +43,8 @@ def isolated_event_files(spark: SparkSession, path: str, table: VersionedTable,
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no folder {path}")
-    names = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", max_files).load(path).select("path")
+    listing = "path string, modificationTime timestamp, length bigint, content binary"  # only the path is read
+    names = spark.readStream.format("binaryFile").schema(listing).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", max_files).load(path).select("path")
 
     def append(files: list[str], key: str) -> None:
         table.append(align(spark.read.parquet(*files), schema), key)
