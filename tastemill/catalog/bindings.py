@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastemill.operators.interactions import interactions
+from tastemill.plans.skew import spread
+from tastemill.session import checkpointed
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -26,6 +28,11 @@ def purchase_interactions(spark: SparkSession, root: str) -> DataFrame:
     return interactions(purchases(spark, root))
 
 
+def stored_interactions(spark: SparkSession, root: str) -> DataFrame:
+    """The interactions written once, for queries that read them several times."""
+    return checkpointed(purchase_interactions(spark, root))
+
+
 def items(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "part").select(
         F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"),
@@ -53,7 +60,7 @@ def item_vectors(spark: SparkSession, root: str) -> DataFrame:
 
 
 def item_documents(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").select(F.col("doc_id").alias("item_id"), "text", "lang", "source")
+    return spread(table(spark, root, "documents").select(F.col("doc_id").alias("item_id"), "text", "lang", "source"))
 
 
 # The same tables in SQL, as common table expressions.

@@ -12,6 +12,7 @@ from tastemill.operators import evaluation as ev, gram, privacy, recommend as re
 from tastemill.operators.interactions import interactions, item_popularity, user_history_size
 from tastemill.operators.profiles import normalised_weights
 from tastemill.plans.topk import rank_items, rank_lists, top_k, unseen_heads
+from tastemill.session import checkpointed
 
 HOLD = 3
 TOP = 20
@@ -33,7 +34,7 @@ metrics AS (SELECT user_id, CAST(n_true AS BIGINT) AS n_true, CAST(coalesce(n_re
 
 def baseline_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(test, recommendations) of the popularity baseline on the last items of each user."""
-    train, test = ev.leave_last_out(b.purchase_interactions(spark, d), HOLD)
+    train, test = (checkpointed(part) for part in ev.leave_last_out(b.stored_interactions(spark, d), HOLD))
     ranking = rank_items(train.groupBy("item_id").agg(F.sum("strength").alias("score")))
     recs = unseen_heads(test.select("user_id").distinct(), train, ranking, TOP)
     return test, recs
@@ -46,7 +47,7 @@ def metrics_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query("leave_last_out", f"WITH {SQL_SPLIT} SELECT user_id, item_id, 'test' AS part FROM test UNION ALL SELECT user_id, item_id, 'train' FROM train")
 def leave_last_out(spark: SparkSession, d: str) -> DataFrame:
-    train, test = ev.leave_last_out(b.purchase_interactions(spark, d), HOLD)
+    train, test = ev.leave_last_out(b.stored_interactions(spark, d), HOLD)
     return test.select("user_id", "item_id", F.lit("test").alias("part")).unionByName(train.select("user_id", "item_id", F.lit("train").alias("part")))
 
 
@@ -131,7 +132,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, o
 
 @query("item_cosine_topm", f"WITH {_SQL_COSINE} SELECT item_id, other_id, round(score, 6) + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM top")
 def item_cosine_topm(spark: SparkSession, d: str) -> DataFrame:
-    rows = gram.cosine_neighbours(b.purchase_interactions(spark, d), 10)
+    rows = gram.cosine_neighbours(b.stored_interactions(spark, d), 10)
     return rows.withColumn("score", rounded(F.col("score")))
 
 
@@ -139,7 +140,7 @@ def item_cosine_topm(spark: SparkSession, d: str) -> DataFrame:
 open AS (SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM inter i WHERE i.user_id = s.user_id AND i.item_id = s.item_id))
 SELECT user_id, item_id, round(s, 5) + 0.0 AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(s, 9) DESC, item_id) AS INTEGER) AS rank FROM open QUALIFY rank <= 10""")
 def itemknn_recommend(spark: SparkSession, d: str) -> DataFrame:
-    inter = b.purchase_interactions(spark, d)
+    inter = b.stored_interactions(spark, d)
     weights = gram.cosine_neighbours(inter, 10).withColumnRenamed("score", "weight")
     scored = gram.neighbour_scores(inter, weights).withColumn("score", F.round("score", 9))
     found = top_k(scored, ["user_id"], [F.desc("score"), F.asc("item_id")], 10)
@@ -188,9 +189,8 @@ favlists AS (SELECT f.user_id, p.item_id, CAST(p.n_users AS DOUBLE) AS score, ro
   WHERE NOT EXISTS (SELECT 1 FROM inter x WHERE x.user_id = f.user_id AND x.item_id = p.item_id) QUALIFY rank <= 30)"""
 
 
-def favourites_of(spark: SparkSession, d: str, k: int) -> DataFrame:
+def favourites_of(inter: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
     """Unseen items of each user's favourite category by number of buyers: one ranking per category."""
-    inter, catalog = b.purchase_interactions(spark, d), b.items(spark, d)
     spent = inter.join(catalog.select("item_id", "category"), "item_id").groupBy("user_id", "category").agg(F.sum("strength").alias("s"))
     readers = spent.groupBy("user_id").agg(F.max(F.struct("s", "category")).alias("top")).select("user_id", F.col("top.category").alias("list_id"))
     scored = item_popularity(inter).join(catalog, "item_id").select(F.col("category").alias("list_id"), "item_id", F.col("n_users").cast("double").alias("score"))
@@ -199,7 +199,7 @@ def favourites_of(spark: SparkSession, d: str, k: int) -> DataFrame:
 
 @query("favourite_category_topk", f"WITH {b.SQL_POPULARITY}, {b.SQL_ITEMS}, {_SQL_FAVOURITE} SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM favlists")
 def favourite_category_topk(spark: SparkSession, d: str) -> DataFrame:
-    return favourites_of(spark, d, 30).select("user_id", "item_id", "score", "rank")
+    return favourites_of(b.stored_interactions(spark, d), b.items(spark, d), 30).select("user_id", "item_id", "score", "rank")
 
 
 @query("hybrid_fuse", f"""WITH {b.SQL_POPULARITY}, {b.SQL_USERS}, {b.SQL_ITEMS}, {b.SQL_UNSEEN.format(source="popularity", k=30)}, {_SQL_FAVOURITE}, {_sql_cold("content_boost")},
@@ -209,10 +209,10 @@ fused AS (SELECT user_id, item_id, max(s * weight) AS s FROM scaled JOIN weights
 SELECT user_id, item_id, round(s, 6) + 0.0 AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(s, 9) DESC, item_id) AS INTEGER) AS rank FROM fused QUALIFY rank <= 10""")
 def hybrid_fuse(spark: SparkSession, d: str) -> DataFrame:
     """Popular items in the role of the collaborative list, the favourite category in the role of the content list."""
-    inter = b.purchase_interactions(spark, d)
+    inter = b.stored_interactions(spark, d)
     popular = rec.popular_unseen(b.users(spark, d), inter, item_popularity(inter), 30)
     lists = popular.select("user_id", F.lit("als").alias("model"), "item_id", "score")
-    lists = lists.unionByName(favourites_of(spark, d, 30).select("user_id", F.lit("text_embedding").alias("model"), "item_id", "score"))
+    lists = lists.unionByName(favourites_of(inter, b.items(spark, d), 30).select("user_id", F.lit("text_embedding").alias("model"), "item_id", "score"))
     weights = user_weights(b.users(spark, d), user_history_size(inter), MODELS, normalise(WEIGHTS), THRESHOLD)
     found = fuse(lists, weights.select("user_id", "model", "weight"), 10)
     return found.select("user_id", "item_id", rounded(F.col("score")).alias("score"), "rank")

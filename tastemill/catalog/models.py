@@ -34,7 +34,7 @@ def _als(factors: int = 16, iterations: int = 5) -> ALSModel:
 
 
 def inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return checkpointed(b.purchase_interactions(spark, d)), b.users(spark, d)
+    return b.stored_interactions(spark, d), b.users(spark, d)
 
 
 @query("als_recommend")

@@ -31,7 +31,7 @@ def popularity_of(spark: SparkSession, d: str) -> DataFrame:
 
 def lists_of(spark: SparkSession, d: str, k: int = LIST) -> DataFrame:
     """Unseen popular items per customer: user_id, item_id, score, n_users, rank."""
-    inter = b.purchase_interactions(spark, d)
+    inter = b.stored_interactions(spark, d)
     return ops.popular_unseen(b.users(spark, d), inter, item_popularity(inter), k)
 
 
@@ -90,7 +90,7 @@ _SQL_FILTERED = f"{b.SQL_POPULARITY}, {b.SQL_USERS}, {b.SQL_ITEMS}, allowed AS (
 
 @query("filtered_topk", f"WITH {_SQL_FILTERED.format(k=10)} SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM ranked")
 def filtered_topk(spark: SparkSession, d: str) -> DataFrame:
-    inter = b.purchase_interactions(spark, d)
+    inter = b.stored_interactions(spark, d)
     allowed = item_popularity(inter).join(ops.apply_filters(b.items(spark, d), FILTERS).select("item_id"), "item_id")
     return ops.popular_unseen(b.users(spark, d), inter, allowed, 10).select("user_id", "item_id", "score", "rank")
 
@@ -107,7 +107,7 @@ def filtered_topk_buffered(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, score, title, category, brand, price, CAST(total AS BIGINT) AS total, CAST(page AS BIGINT) AS page, total_pages, has_next, has_prev FROM shown""")
 def recommend_request(spark: SparkSession, d: str) -> DataFrame:
     """Every customer asks for page 2 of 25 filtered items never bought before."""
-    inter = b.purchase_interactions(spark, d)
+    inter = b.stored_interactions(spark, d)
     shown = ops.recommend_request(b.users(spark, d), inter, b.items(spark, d), item_popularity(inter), FILTERS, 25, 2, 10)
     return shown.select("user_id", "rank", "item_id", "score", "title", "category", "brand", "price", "total", "page", "total_pages", "has_next", "has_prev")
 
@@ -201,7 +201,7 @@ def category_distribution(spark: SparkSession, d: str) -> DataFrame:
 @query("ease_identity_compat", f"""WITH {b.SQL_INTERACTIONS}, {b.SQL_USERS}, catalog AS (SELECT DISTINCT item_id, 1.0::DOUBLE AS score FROM inter), {b.SQL_UNSEEN.format(source="catalog", k=10)}
 SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM ranked""")
 def ease_identity_compat(spark: SparkSession, d: str) -> DataFrame:
-    inter = b.purchase_interactions(spark, d)
+    inter = b.stored_interactions(spark, d)
     return identity_recommend(b.users(spark, d), inter, inter, 10)
 
 
@@ -219,7 +219,7 @@ parts AS (SELECT *, 0.2::DOUBLE * diversity AS wd, 0.2::DOUBLE * novelty AS wn,
 
 
 def components_of(spark: SparkSession, d: str) -> DataFrame:
-    inter = b.purchase_interactions(spark, d)
+    inter = b.stored_interactions(spark, d)
     stats = item_popularity(inter)
     rows = ops.with_metadata(ops.popular_unseen(b.users(spark, d), inter, stats, LIST), b.items(spark, d))
     return rr.components(rows.select("user_id", "item_id", "score", "category"), stats, b.users(spark, d).count())

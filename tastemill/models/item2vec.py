@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tastemill.models.base import Recommender, register, vector_topk
 from tastemill.operators.profiles import lookup_vectors_zero, mean_profile
-from tastemill.plans.ordered import chunk_position
+from tastemill.plans.ordered import chunk_scan
 from tastemill.operators.sequences import SENTENCE
 from tastemill.session import checkpointed
 
@@ -16,7 +16,7 @@ from tastemill.session import checkpointed
 def history_sentences(inter: DataFrame) -> DataFrame:
     """A user's items in time order as sentences of bounded length."""
     rows = inter.withColumn("_day", F.to_date("last_ts"))
-    placed = chunk_position(rows, ["user_id"], "_day", ["last_ts", "item_id"], "_pos").withColumn("part", F.floor((F.col("_pos") - 1) / SENTENCE))
+    placed = chunk_scan(rows, ["user_id"], "_day", ["last_ts", "item_id"], position="_pos").withColumn("part", F.floor((F.col("_pos") - 1) / SENTENCE))
     listed = placed.groupBy("user_id", "part").agg(F.sort_array(F.collect_list(F.struct("_pos", F.col("item_id").cast("string").alias("w")))).alias("s"))
     return listed.select("user_id", "part", F.col("s.w").alias("sentence"))
 

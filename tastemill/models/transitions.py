@@ -39,4 +39,4 @@ class TransitionModel(Recommender):
             return found.select("user_id", F.col("next_item").alias("item_id"), F.col("probability").alias("score"), "rank")
         lists = self.tables["transitions"].select(F.col("prev_item").alias("list_id"), F.col("next_item").alias("item_id"), F.col("probability").alias("score"))
         readers = last_items(own).withColumnRenamed("last_item", "list_id")
-        return unseen_heads(readers, own, rank_lists(lists), k).select("user_id", "item_id", "score", "rank")
+        return unseen_heads(readers, own.select("user_id", "item_id").distinct(), rank_lists(lists), k).select("user_id", "item_id", "score", "rank")

@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastemill.plans.ordered import chunk_position
+from tastemill.plans.ordered import chunk_scan
 from tastemill.session import checkpointed
 from tastemill.sources.tables import VersionedTable
 
@@ -28,7 +28,7 @@ def export_documents(events: DataFrame, items: DataFrame, requests: DataFrame, c
     A part holds at most ``EXPORT_PART`` events and the items in them, so no export is gathered in one row.
     """
     own = events.join(requests.select("user_id"), "user_id", "left_semi")
-    placed = chunk_position(own, ["user_id"], chunk, order, "_pos").withColumn("part", F.floor((F.col("_pos") - 1) / EXPORT_PART))
+    placed = chunk_scan(own, ["user_id"], chunk, order, position="_pos").withColumn("part", F.floor((F.col("_pos") - 1) / EXPORT_PART))
     joined = placed.join(items, "item_id", "left")
     event = F.struct("_pos", "item_id", "ts", "qty")
     item = F.when(F.col("category").isNotNull() | F.col("price").isNotNull(), F.struct("item_id", "category", "brand", "price"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tastemill.functions.scalars import epoch_seconds
-from tastemill.plans.ordered import chunk_neighbour, chunk_position
+from tastemill.plans.ordered import chunk_scan
 from tastemill.plans.skew import salted_join
 from tastemill.plans.topk import top_k
+from tastemill.session import checkpointed
 
 ORDER = ["ts", "event_id"]
 SENTENCE = 1000
@@ -51,7 +52,7 @@ def session_summary(sessions: DataFrame) -> DataFrame:
 
 def session_positions(sessions: DataFrame) -> DataFrame:
     """1-based position of each event in its session."""
-    placed = chunk_position(by_day(sessions), ["user_id", "session_no"], "_chunk", ORDER, "pos")
+    placed = chunk_scan(by_day(sessions), ["user_id", "session_no"], "_chunk", ORDER, position="pos")
     return placed.drop("_chunk")
 
 
@@ -64,7 +65,7 @@ def session_sentences(positions: DataFrame, item: str = "item_id") -> DataFrame:
 
 def next_item_pairs(events: DataFrame, gap_seconds: int) -> DataFrame:
     """Each event with the item that follows it in the same session, that is within the pause."""
-    chunked = chunk_neighbour(by_day(events), ["user_id"], "_chunk", ORDER, ["item_id"], "_next", 1)
+    chunked = chunk_scan(by_day(events), ["user_id"], "_chunk", ORDER, following="_next", columns=("item_id",))
     follows = chunked.where(_pause(F.col("ts"), F.col("_next.ts")) < gap_seconds * 1_000_000)
     return follows.select("user_id", "event_id", F.col("item_id").alias("prev_item"), F.col("_next.item_id").alias("next_item"))
 
@@ -81,7 +82,7 @@ def context_pairs(positions: DataFrame, window: int) -> DataFrame:
 
 def transition_probabilities(pairs: DataFrame, n_items: int, smoothing: float = 0.0) -> DataFrame:
     """P(next | prev) from pair counts with additive smoothing over the catalog."""
-    counts = pairs.groupBy("prev_item", "next_item").agg(F.count("*").alias("n"))
+    counts = checkpointed(pairs.groupBy("prev_item", "next_item").agg(F.count("*").alias("n")))
     totals = counts.groupBy("prev_item").agg(F.sum("n").alias("n_prev"))
     joined = counts.join(totals, "prev_item")
     return joined.withColumn("probability", (F.col("n") + smoothing) / (F.col("n_prev") + smoothing * n_items))

@@ -14,40 +14,48 @@ from tastemill.session import checkpointed
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 
 
-def _inside(keys: list[str], chunk: str, order: list[str]):
-    return Window.partitionBy(*keys, chunk).orderBy(*order)
-
-
-def _along(keys: list[str], chunk: str):
-    return Window.partitionBy(*keys).orderBy(chunk)
-
-
-def chunk_position(df: DataFrame, keys: list[str], chunk: str, order: list[str], out: str) -> DataFrame:
-    """1-based position of each row within its key."""
-    ones = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return chunk_running_sum(ones, keys, chunk, order, "_one", out).drop("_one")
-
-
-def chunk_running_sum(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Running sum of ``value`` within a key, the row itself included. ``order`` must be a total order."""
-    before = _along(keys, chunk).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_total"))
-    starts = totals.select(*keys, chunk, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    upto = _inside(keys, chunk, order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumn("_local", F.sum(value).over(upto))
-    return local.join(starts, [*keys, chunk]).withColumn(out, F.col("_start") + F.col("_local")).drop("_start", "_local")
-
-
-def chunk_neighbour(df: DataFrame, keys: list[str], chunk: str, order: list[str], columns: list[str], out: str, step: int) -> DataFrame:
-    """Struct ``out`` with ``columns`` of the next (step 1) or previous (step -1) row of the key, null at the end."""
+def chunk_scan(
+    df: DataFrame,
+    keys: list[str],
+    chunk: str,
+    order: list[str],
+    position: str | None = None,
+    following: str | None = None,
+    preceding: str | None = None,
+    columns: tuple[str, ...] = (),
+) -> DataFrame:
+    """1-based ``position`` within the key and structs with the ``following`` and ``preceding`` row of the key.
+
+    ``order`` is a total order and never goes back from one chunk to the next. The structs hold ``order`` and
+    ``columns`` and are null at the ends of a key. ``df`` is read twice, once for its edges, so an expensive one should
+    be materialised before.
+    """
     row = F.struct(*order, *[c for c in columns if c not in order])
-    shift = F.lead if step > 0 else F.lag
-    edge = F.min(row) if step > 0 else F.max(row)
-    edges = df.groupBy(*keys, chunk).agg(edge.alias("_edge"))
-    edges = edges.select(*keys, chunk, shift("_edge").over(_along(keys, chunk)).alias("_edge"))
-    local = df.withColumn("_near", shift(row).over(_inside(keys, chunk, order)))
-    joined = local.join(edges, [*keys, chunk])
-    return joined.withColumn(out, F.coalesce("_near", "_edge")).drop("_near", "_edge")
+    inside = Window.partitionBy(*keys, chunk).orderBy(*order)
+    along = Window.partitionBy(*keys).orderBy(chunk)
+    measures, carried = [], []
+    rows = df
+    if position:
+        measures.append(F.count("*").alias("_scan_n"))
+        carried.append(F.coalesce(F.sum("_scan_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_scan_before"))
+        rows = rows.withColumn("_scan_local", F.row_number().over(inside))
+    if following:
+        measures.append(F.min(row).alias("_scan_first"))
+        carried.append(F.lead("_scan_first").over(along).alias("_scan_next_first"))
+        rows = rows.withColumn("_scan_next", F.lead(row).over(inside))
+    if preceding:
+        measures.append(F.max(row).alias("_scan_last"))
+        carried.append(F.lag("_scan_last").over(along).alias("_scan_prev_last"))
+        rows = rows.withColumn("_scan_prev", F.lag(row).over(inside))
+    edges = df.groupBy(*keys, chunk).agg(*measures).select(*keys, chunk, *carried)
+    result = rows.join(edges, [*keys, chunk])
+    if position:
+        result = result.withColumn(position, F.col("_scan_before") + F.col("_scan_local"))
+    if following:
+        result = result.withColumn(following, F.coalesce("_scan_next", "_scan_next_first"))
+    if preceding:
+        result = result.withColumn(preceding, F.coalesce("_scan_prev", "_scan_prev_last"))
+    return result.drop("_scan_before", "_scan_local", "_scan_next", "_scan_next_first", "_scan_prev", "_scan_prev_last")
 
 
 def dense_index(df: DataFrame, order: list[Column | str], out: str, start: int = 0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins that stay balanced when one key holds a large share of the rows."""
+"""Balance: joins with hot keys, and row work behind few large files."""
 
 from __future__ import annotations
 
@@ -16,3 +16,13 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: list[
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a plain scan over at least as many tasks as there are cores.
+
+    For heavy work per row (text, parsing) behind a few unsplittable files. With more input splits than cores, as on
+    large data, nothing happens.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -8,11 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tastemill.plans.ordered import chunk_neighbour, chunk_position, dense_index
+from tastemill.plans.ordered import chunk_scan, dense_index
 from tastemill.plans.skew import salted_join
+from tastemill.session import checkpointed
 
 METRICS = ("inner_product", "cosine", "l2")
 BROADCAST_RANKS = 100_000
+PIECE = 4_000_000  # products formed at a time in a block
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -121,7 +123,7 @@ def blocked_topk(
     left = asked.withColumn("item_part", all_blocks("item_blocks")).select("cell", "query_part", "item_part", "query_id", "query_vector")
     right = placed.withColumn("query_part", all_blocks("query_blocks")).select("cell", "query_part", "item_part", "item_id", "item_vector")
     if seen is not None:
-        pairs = seen.select("query_id", "item_id").distinct()
+        pairs = seen.select("query_id", "item_id")
         if celled:
             pairs = pairs.join(placed.select("item_id", "cell", "item_part"), "item_id")
         else:
@@ -163,22 +165,24 @@ def unseen_heads(users: DataFrame, seen: DataFrame, ranking: DataFrame, k: int,
     before it, so the runs that reach the first k unseen items are known from the seen ranks alone; the rows emitted are
     the answer itself. A user who has seen much is cut into blocks of ranks.
 
-    ``users(user_id[, list_id])``, ``seen(user_id, item_id)``, ``ranking([list_id,] item_id, item_rank, ...)``: one
-    ranking for all, or one ranking per list with each user reading one list. Returns the ranking's columns with
-    ``user_id`` and ``rank``.
+    ``users(user_id[, list_id])``, ``seen(user_id, item_id)`` with one row per pair, ``ranking([list_id,] item_id,
+    item_rank, ...)``: one ranking for all, or one ranking per list with each user reading one list. Returns the
+    ranking's columns with ``user_id`` and ``rank``.
     """
     listed = "list_id" in ranking.columns
     key = ["list_id"] if listed else []
     users = users.select("user_id", *key).distinct()
-    history = seen.select("user_id", "item_id").distinct().join(users, "user_id")
-    marked = history.join(ranking.select(*key, "item_id", "item_rank"), [*key, "item_id"]).select("user_id", *key, "item_rank")
+    places = ranking.select(*key, "item_id", "item_rank")
+    pairs = seen.select("user_id", "item_id")
+    marked = pairs.join(users, "user_id").join(places, ["list_id", "item_id"]) if listed else pairs.join(places, "item_id").join(users, "user_id")
+    marked = marked.select("user_id", *key, "item_rank")
     sizes = marked.groupBy("user_id").agg(F.count("*").alias("_h"))
     # rank r of a user with h seen items has at least r - h unseen ranks before it
     relevant = marked.join(sizes, "user_id").where(F.col("item_rank") <= F.col("_h") + k).drop("_h")
-    points = relevant.unionByName(users.withColumn("item_rank", F.lit(0).cast("bigint")))
+    # a few rows per user are left: written once instead of computed for every branch below
+    points = checkpointed(relevant.unionByName(users.withColumn("item_rank", F.lit(0).cast("bigint"))))
     points = points.withColumn("_block", F.floor(F.col("item_rank") / block))
-    points = chunk_position(points, ["user_id"], "_block", ["item_rank"], "_pos")
-    points = chunk_neighbour(points, ["user_id"], "_block", ["item_rank"], [], "_next", 1)
+    points = chunk_scan(points, ["user_id"], "_block", ["item_rank"], position="_pos", following="_next")
     if listed:
         totals = ranking.groupBy("list_id").agg(F.max("item_rank").alias("_total"))
         points = salted_join(points, totals, ["list_id"], ["user_id"])
@@ -214,25 +218,36 @@ def _sparse_search(k: int, out_schema: pa.Schema):
         history, weights = rows.to_pandas(), columns.to_pandas()
         users, row = np.unique(history["user_id"].to_numpy(), return_inverse=True)
         targets, col = np.unique(weights["target_id"].to_numpy(), return_inverse=True)
-        scores = np.zeros((len(users), len(targets)))
-        touched = np.zeros(scores.shape, dtype=bool)
-        strength, weight = history["strength"].to_numpy(), weights["weight"].to_numpy()
-        by_item = weights.groupby("item_id").indices
-        for item, at in history.groupby("item_id").indices.items():
-            to = by_item.get(item)
-            if to is not None:
-                cell = np.ix_(row[at], col[to])
-                scores[cell] += strength[at][:, None] * weight[to][None, :]
-                touched[cell] = True
+        source, at = np.unique(weights["item_id"].to_numpy(), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        col, weight = col[order], weights["weight"].to_numpy()[order]
+        begin = np.searchsorted(at[order], np.arange(len(source) + 1))
+        known = pd.Index(source).get_indexer(history["item_id"].to_numpy())
+        used = np.flatnonzero(known >= 0)
+        length = begin[known[used] + 1] - begin[known[used]]
+        scores = np.zeros(len(users) * len(targets))
+        touched = np.zeros(len(scores), dtype=bool)
+        strength = history["strength"].to_numpy()
+        # products in pieces of bounded size, added into the dense block
+        edges = np.searchsorted(np.cumsum(length), np.arange(0, length.sum() + PIECE, PIECE))
+        for lo, hi in zip(edges[:-1], np.maximum(edges[1:], edges[:-1] + 1)):
+            piece, n = used[lo:hi], length[lo:hi]
+            if not len(piece):
+                continue
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[known[piece]], n)
+            cell = np.repeat(row[piece], n) * len(targets) + col[offset]
+            scores += np.bincount(cell, np.repeat(strength[piece], n) * weight[offset], len(scores))
+            touched[cell] = True
+        scores, touched = scores.reshape(len(users), -1), touched.reshape(len(users), -1)
         own = pd.Index(targets).get_indexer(history["item_id"].to_numpy())
         masked = (own >= 0) & history["mask"].to_numpy()
         touched[row[masked], own[masked]] = False
         scores[~touched] = -np.inf
         best = _best_columns(scores, k)
-        at, to = np.repeat(np.arange(len(users)), best.shape[1]), best.ravel()
-        values = scores[at, to]
+        where, to = np.repeat(np.arange(len(users)), best.shape[1]), best.ravel()
+        values = scores[where, to]
         keep = np.isfinite(values)
-        frame = {"user_id": users[at[keep]], "item_id": targets[to[keep]], "score": values[keep]}
+        frame = {"user_id": users[where[keep]], "item_id": targets[to[keep]], "score": values[keep]}
         return pa.Table.from_pandas(pd.DataFrame(frame), schema=out_schema, preserve_index=False)
 
     return search

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tastemill.operators.ann import as_items, as_queries
 from tastemill.operators.gram import cosine_neighbours, item_gram
 from tastemill.operators import sequences
-from tastemill.plans.ordered import chunk_neighbour, chunk_position, dense_index
+from tastemill.plans.ordered import chunk_scan, dense_index
 from tastemill.plans.skew import salted_join
 from tastemill.plans.topk import blocked_topk, rank_items, rank_lists, sparse_topk, unseen_heads
 
@@ -52,13 +52,14 @@ def test_dense_index_is_consecutive(spark):
 def test_chunked_position_and_neighbour(spark):
     data = [("hot", t) for t in range(200)] + [("cold", 5), ("cold", 17)]
     df = spark.createDataFrame(data, "u string, t int").withColumn("c", F.floor(F.col("t") / 16))
-    placed = chunk_position(df, ["u"], "c", ["t"], "pos")
-    got = chunk_neighbour(placed, ["u"], "c", ["t"], ["pos"], "n", 1).toPandas()
+    got = chunk_scan(df.withColumn("x", F.col("t") * 2), ["u"], "c", ["t"], "pos", "n", "p", ("x",)).toPandas()
     hot = got[got.u == "hot"].sort_values("t")
     assert hot["pos"].tolist() == list(range(1, 201))
     assert [n["t"] if n else None for n in hot["n"]] == [*range(1, 200), None]
-    back = chunk_neighbour(df, ["u"], "c", ["t"], [], "p", -1).where("u = 'cold'").orderBy("t").collect()
-    assert [r["p"]["t"] if r["p"] else None for r in back] == [None, 5]
+    assert [n["x"] if n else None for n in hot["p"]] == [None, *range(0, 398, 2)]
+    cold = got[got.u == "cold"].sort_values("t")
+    assert [n["t"] if n else None for n in cold["p"]] == [None, 5]
+    assert cold["pos"].tolist() == [1, 2]
 
 
 def test_sessions_across_days(spark):
