@@ -99,7 +99,7 @@ def ease_recommend(spark: SparkSession, d: str) -> DataFrame:
 
 def _item2vec(spark: SparkSession, d: str) -> Item2VecModel:
     events = b.clicks(spark, d)
-    sentences = sequences.session_sentences(sequences.session_positions(sequences.sessionize(events, GAP)))
+    sentences = sequences.session_sentences(sequences.sessionize(events, GAP))
     return Item2VecModel(vector_size=16, window=5, epochs=2).fit(b.click_interactions(spark, d), sentences=sentences.select("sentence"))
 
 

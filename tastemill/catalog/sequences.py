@@ -46,13 +46,13 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("session_positions", f"WITH {SQL_SESSIONS} SELECT event_id, user_id, session_no, pos, item_id FROM placed")
 def session_positions(spark: SparkSession, d: str) -> DataFrame:
-    return ops.session_positions(sessions_of(spark, d)).select("event_id", "user_id", "session_no", "pos", "item_id")
+    return sessions_of(spark, d).select("event_id", "user_id", "session_no", "pos", "item_id")
 
 
 @query("session_sentences", f"""WITH {SQL_SESSIONS} SELECT user_id, session_no, (pos - 1) // {ops.SENTENCE} AS part, string_agg(item_id, ' ' ORDER BY pos) AS words
 FROM placed GROUP BY ALL""")
 def session_sentences(spark: SparkSession, d: str) -> DataFrame:
-    parts = ops.session_sentences(ops.session_positions(sessions_of(spark, d)))
+    parts = ops.session_sentences(sessions_of(spark, d))
     return parts.select("user_id", "session_no", "part", F.array_join("sentence", " ").alias("words"))
 
 
@@ -64,7 +64,7 @@ def next_item_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query("context_pairs", f"""WITH {SQL_SESSIONS} SELECT a.item_id AS centre_item, c.item_id AS context_item, CAST(count(*) AS BIGINT) AS n
 FROM placed a JOIN placed c ON a.user_id = c.user_id AND a.session_no = c.session_no AND a.pos <> c.pos AND abs(a.pos - c.pos) <= {WINDOW} GROUP BY ALL""")
 def context_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return ops.context_pairs(ops.session_positions(sessions_of(spark, d)), WINDOW)
+    return ops.context_pairs(sessions_of(spark, d), WINDOW)
 
 
 @query("transition_probs", f"WITH {SQL_TRANSITIONS} SELECT prev_item, next_item, n, n_prev, round(probability, 6) + 0.0 AS probability FROM transitions")

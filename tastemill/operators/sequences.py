@@ -24,24 +24,38 @@ def _pause(before: Column, ts: Column) -> Column:
 
 
 def sessionize(events: DataFrame, gap_seconds: int) -> DataFrame:
-    """Events with ``session_no`` (1.. per user): a pause of ``gap_seconds`` or more starts a new session.
+    """Events with ``session_no`` (1.. per user) and ``pos`` (1.. per session).
 
-    Pauses inside a day are found per (user, day); the day table carries the last event and the number of sessions over
-    to the next day, so the longest user history is spread over its days.
+    A pause of ``gap_seconds`` or more starts a new session. Pauses inside a day are found per (user, day); the table of
+    days carries the last event, the number of sessions and the length of the open session over to the next day, so the
+    longest user history is spread over its days.
     """
     gap = gap_seconds * 1_000_000
     day = Window.partitionBy("user_id", "_chunk").orderBy(*ORDER)
+    upto = day.rowsBetween(Window.unboundedPreceding, 0)
+    starts = _pause(F.lag("ts").over(day), F.col("ts")) >= gap
+    local = by_day(events).withColumn("_rn", F.row_number().over(day)).withColumn("_start", F.when(starts, F.col("_rn")))
+
     user = Window.partitionBy("user_id").orderBy("_chunk")
-    inner = F.when(_pause(F.lag("ts").over(day), F.col("ts")) >= gap, 1).otherwise(0).cast("bigint")
-    local = by_day(events).withColumn("_new", inner)
-    days = local.groupBy("user_id", "_chunk").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.sum("_new").alias("_inner"))
+    earlier = user.rowsBetween(Window.unboundedPreceding, -1)
+    days = local.groupBy("user_id", "_chunk").agg(
+        F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.count("*").alias("_n"), F.count("_start").alias("_inner"), F.max("_start").alias("_last_start")
+    )
     pause = _pause(F.lag("_last").over(user), F.col("_first"))
-    days = days.withColumn("_head", F.when(pause.isNull() | (pause >= gap), 1).otherwise(0).cast("bigint"))
-    before = F.coalesce(F.sum(F.col("_head") + F.col("_inner")).over(user.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = days.select("user_id", "_chunk", (before + F.col("_head")).alias("_base"))
-    upto = F.sum("_new").over(day.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = local.withColumn("_upto", upto).join(days, ["user_id", "_chunk"]).withColumn("session_no", F.col("_base") + F.col("_upto"))
-    return numbered.drop("_chunk", "_new", "_upto", "_base")
+    days = days.withColumn("_head", F.when(pause.isNull() | (pause >= gap), 1).otherwise(0))
+    sessions = F.col("_head") + F.col("_inner")
+    days = days.withColumn("_base", F.coalesce(F.sum(sessions).over(earlier), F.lit(0)) + F.col("_head"))
+    # the session open at the end of a day has _open events in that day; days without a start add to the one before
+    opened = F.when(F.col("_inner") > 0, F.col("_n") - F.col("_last_start") + 1).otherwise(F.col("_n"))
+    days = days.withColumn("_open", opened).withColumn("_run", F.sum(F.when(sessions > 0, 1).otherwise(0)).over(user))
+    days = days.withColumn("_sum", F.sum("_open").over(Window.partitionBy("user_id", "_run").orderBy("_chunk")))
+    days = days.withColumn("_carry", F.when(F.col("_head") == 1, 0).otherwise(F.coalesce(F.lag("_sum").over(user), F.lit(0))))
+    days = days.select("user_id", "_chunk", "_base", "_carry")
+
+    numbered = local.withColumn("_seen", F.count("_start").over(upto)).withColumn("_from", F.max("_start").over(upto)).join(days, ["user_id", "_chunk"])
+    numbered = numbered.withColumn("session_no", F.col("_base") + F.col("_seen"))
+    numbered = numbered.withColumn("pos", F.when(F.col("_from").isNotNull(), F.col("_rn") - F.col("_from") + 1).otherwise(F.col("_rn") + F.col("_carry")).cast("bigint"))
+    return numbered.drop("_chunk", "_rn", "_start", "_seen", "_from", "_base", "_carry")
 
 
 def session_summary(sessions: DataFrame) -> DataFrame:
@@ -50,15 +64,9 @@ def session_summary(sessions: DataFrame) -> DataFrame:
     )
 
 
-def session_positions(sessions: DataFrame) -> DataFrame:
-    """1-based position of each event in its session."""
-    placed = chunk_scan(by_day(sessions), ["user_id", "session_no"], "_chunk", ORDER, position="pos")
-    return placed.drop("_chunk")
-
-
-def session_sentences(positions: DataFrame, item: str = "item_id") -> DataFrame:
+def session_sentences(sessions: DataFrame, item: str = "item_id") -> DataFrame:
     """Sessions as item arrays; a session longer than a sentence continues in the next row, so no array is unbounded."""
-    rows = positions.withColumn("part", F.floor((F.col("pos") - 1) / SENTENCE))
+    rows = sessions.withColumn("part", F.floor((F.col("pos") - 1) / SENTENCE))
     listed = rows.groupBy("user_id", "session_no", "part").agg(F.sort_array(F.collect_list(F.struct("pos", F.col(item).cast("string").alias("w")))).alias("s"))
     return listed.select("user_id", "session_no", "part", F.col("s.w").alias("sentence"))
 
@@ -70,14 +78,20 @@ def next_item_pairs(events: DataFrame, gap_seconds: int) -> DataFrame:
     return follows.select("user_id", "event_id", F.col("item_id").alias("prev_item"), F.col("_next.item_id").alias("next_item"))
 
 
-def context_pairs(positions: DataFrame, window: int) -> DataFrame:
-    """Counts of (centre, context) items at most ``window`` positions apart, by an equi-join on the position."""
-    offsets = [d for d in range(-window, window + 1) if d != 0]
-    centre = positions.select("user_id", "session_no", F.col("pos").alias("_p"), F.col("item_id").alias("centre_item"))
-    reached = centre.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in offsets]))).withColumn("pos", F.col("_p") + F.col("_d"))
-    context = positions.select("user_id", "session_no", "pos", F.col("item_id").alias("context_item"))
-    pairs = reached.join(context, ["user_id", "session_no", "pos"])
-    return pairs.groupBy("centre_item", "context_item").agg(F.count("*").alias("n"))
+def context_pairs(sessions: DataFrame, window: int) -> DataFrame:
+    """Counts of (centre, context) items at most ``window`` positions apart.
+
+    Later items are found by an equi-join on the position; the pairs seen from the other side are the same counts turned
+    round.
+    """
+    centre = sessions.select("user_id", "session_no", F.col("pos").alias("_p"), F.col("item_id").alias("centre_item"))
+    steps = F.explode(F.sequence(F.lit(1), F.lit(window)))
+    reached = centre.withColumn("_d", steps).withColumn("pos", F.col("_p") + F.col("_d"))
+    context = sessions.select("user_id", "session_no", "pos", F.col("item_id").alias("context_item"))
+    later = reached.join(context, ["user_id", "session_no", "pos"]).groupBy("centre_item", "context_item").agg(F.count("*").alias("n"))
+    ends = F.array(F.struct("centre_item", "context_item"), F.struct(F.col("context_item").alias("centre_item"), F.col("centre_item").alias("context_item")))
+    both = later.select(F.explode(ends).alias("e"), "n").select("e.centre_item", "e.context_item", "n")
+    return both.groupBy("centre_item", "context_item").agg(F.sum("n").alias("n"))
 
 
 def transition_probabilities(pairs: DataFrame, n_items: int, smoothing: float = 0.0) -> DataFrame:

@@ -211,23 +211,29 @@ def unseen_heads(users: DataFrame, seen: DataFrame, ranking: DataFrame, k: int,
 # sparse histories against sparse item columns
 
 
-def _sparse_search(k: int, out_schema: pa.Schema):
+def _unpacked(packed: pa.Table, key: str, items: str, values: str) -> tuple[np.ndarray, ...]:
+    """Keys, and per list entry the key's number, the item and the value."""
+    keys = packed[key].to_pandas().to_numpy()
+    lists, numbers = packed[items].combine_chunks(), packed[values].combine_chunks()
+    lengths = np.diff(lists.offsets.to_numpy())
+    return keys, np.repeat(np.arange(len(keys)), lengths), lists.flatten().to_pandas().to_numpy(), numbers.flatten().to_numpy(zero_copy_only=False)
+
+
+def _sparse_search(k: int, exclude_seen: bool, out_schema: pa.Schema):
     def search(rows: pa.Table, columns: pa.Table) -> pa.Table:
         if rows.num_rows == 0 or columns.num_rows == 0:
             return out_schema.empty_table()
-        history, weights = rows.to_pandas(), columns.to_pandas()
-        users, row = np.unique(history["user_id"].to_numpy(), return_inverse=True)
-        targets, col = np.unique(weights["target_id"].to_numpy(), return_inverse=True)
-        source, at = np.unique(weights["item_id"].to_numpy(), return_inverse=True)
+        users, row, items, strength = _unpacked(rows, "user_id", "items", "strengths")
+        targets, col, sources, weight = _unpacked(columns.sort_by("target_id"), "target_id", "items", "weights")
+        source, at = np.unique(sources, return_inverse=True)
         order = np.argsort(at, kind="stable")
-        col, weight = col[order], weights["weight"].to_numpy()[order]
+        col, weight = col[order], weight[order]
         begin = np.searchsorted(at[order], np.arange(len(source) + 1))
-        known = pd.Index(source).get_indexer(history["item_id"].to_numpy())
+        known = pd.Index(source).get_indexer(items)
         used = np.flatnonzero(known >= 0)
         length = begin[known[used] + 1] - begin[known[used]]
         scores = np.zeros(len(users) * len(targets))
         touched = np.zeros(len(scores), dtype=bool)
-        strength = history["strength"].to_numpy()
         # products in pieces of bounded size, added into the dense block
         edges = np.searchsorted(np.cumsum(length), np.arange(0, length.sum() + PIECE, PIECE))
         for lo, hi in zip(edges[:-1], np.maximum(edges[1:], edges[:-1] + 1)):
@@ -239,9 +245,9 @@ def _sparse_search(k: int, out_schema: pa.Schema):
             scores += np.bincount(cell, np.repeat(strength[piece], n) * weight[offset], len(scores))
             touched[cell] = True
         scores, touched = scores.reshape(len(users), -1), touched.reshape(len(users), -1)
-        own = pd.Index(targets).get_indexer(history["item_id"].to_numpy())
-        masked = (own >= 0) & history["mask"].to_numpy()
-        touched[row[masked], own[masked]] = False
+        if exclude_seen:
+            own = pd.Index(targets).get_indexer(items)
+            touched[row[own >= 0], own[own >= 0]] = False
         scores[~touched] = -np.inf
         best = _best_columns(scores, k)
         where, to = np.repeat(np.arange(len(users)), best.shape[1]), best.ravel()
@@ -253,7 +259,7 @@ def _sparse_search(k: int, out_schema: pa.Schema):
     return search
 
 
-def sparse_topk(history: DataFrame, weights: DataFrame, k: int, exclude_seen: bool = True, user_block: int = 512, target_block: int = 8192, heavy: int = 20_000) -> DataFrame:
+def sparse_topk(history: DataFrame, weights: DataFrame, k: int, exclude_seen: bool = True, user_block: int = 2048, target_block: int = 4096, heavy: int = 20_000) -> DataFrame:
     """Top-k of the product of sparse histories and sparse item columns.
 
     ``history(user_id, item_id, strength)`` with one row per pair; ``weights(item_id, target_id, weight)`` with a bounded
@@ -282,9 +288,14 @@ def sparse_topk(history: DataFrame, weights: DataFrame, k: int, exclude_seen: bo
     if n_heavy:
         big = sizes.where(F.col("_h") > heavy).select("user_id")
         light = history.join(big, "user_id", "left_anti")
-    left = light.withColumn("mask", F.lit(exclude_seen)).withColumn("up", part("user_id", user_parts)).withColumn("tp", every(target_parts))
-    right = weights.withColumn("tp", part("target_id", target_parts)).withColumn("up", every(user_parts))
-    lists = left.groupBy("up", "tp").cogroup(right.groupBy("up", "tp")).applyInArrow(_sparse_search(k, to_arrow_schema(out)), out)
+    # one row per user and per target, with at most ``heavy`` and the bounded number of entries
+    entries = F.collect_list(F.struct("item_id", "strength"))
+    left = light.groupBy("user_id").agg(entries.alias("e")).select("user_id", F.col("e.item_id").alias("items"), F.col("e.strength").alias("strengths"))
+    entries = F.collect_list(F.struct("item_id", "weight"))
+    right = weights.groupBy("target_id").agg(entries.alias("e")).select("target_id", F.col("e.item_id").alias("items"), F.col("e.weight").alias("weights"))
+    left = left.withColumn("up", part("user_id", user_parts)).withColumn("tp", every(target_parts))
+    right = right.withColumn("tp", part("target_id", target_parts)).withColumn("up", every(user_parts))
+    lists = left.groupBy("up", "tp").cogroup(right.groupBy("up", "tp")).applyInArrow(_sparse_search(k, exclude_seen, to_arrow_schema(out)), out)
     if n_heavy:
         busy = history.join(big, "user_id", "left_semi")
         summed = busy.join(weights, "item_id").groupBy("user_id", "target_id").agg(F.sum(F.col("strength") * F.col("weight")).alias("score"))

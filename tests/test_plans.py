@@ -69,12 +69,22 @@ def test_sessions_across_days(spark):
     sessions = sequences.sessionize(events, 6 * 3600)
     got = {r["event_id"]: r["session_no"] for r in sessions.collect()}
     assert [got[i] for i in range(8)] == [1, 1, 2, 2, 2, 3, 3, 4]
-    places = {r["event_id"]: r["pos"] for r in sequences.session_positions(sessions).collect()}
+    places = {r["event_id"]: r["pos"] for r in sessions.collect()}
     assert [places[i] for i in range(8)] == [1, 2, 1, 2, 3, 1, 2, 1]
     pairs = {(r["prev_item"], r["next_item"]) for r in sequences.next_item_pairs(events, 6 * 3600).collect()}
     assert pairs == {(0, 1), (2, 3), (3, 4), (5, 6)}
 
 
+def test_session_open_over_many_days(spark):
+    """A user who never pauses, one who does, and positions that run on over days without any start."""
+    rows = [("busy", h) for h in range(0, 24 * 9, 4)] + [("calm", h) for h in (0, 10, 30, 33, 47, 50, 52, 100)]
+    df = spark.createDataFrame([(i, u, i, h) for i, (u, h) in enumerate(rows)], "event_id int, user_id string, item_id int, h int")
+    events = df.withColumn("ts", F.timestamp_add("HOUR", F.col("h"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"))).drop("h")
+    got = {r["event_id"]: (r["session_no"], r["pos"]) for r in sequences.sessionize(events, 6 * 3600).collect()}
+    assert [got[i] for i in range(54)] == [(1, i + 1) for i in range(54)]
+    assert [got[54 + i] for i in range(8)] == [(1, 1), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3), (5, 1)]
+
+
 def test_one_item_session_has_no_pair(spark):
     events = spark.createDataFrame([(0, "u", 1)], "event_id int, user_id string, item_id int").withColumn("ts", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"))
     assert sequences.next_item_pairs(events, 3600).count() == 0
