@@ -60,7 +60,7 @@ def item_vectors(spark: SparkSession, root: str) -> DataFrame:
 
 
 def item_documents(spark: SparkSession, root: str) -> DataFrame:
-    return spread(table(spark, root, "documents").select(F.col("doc_id").alias("item_id"), "text", "lang", "source"))
+    return spread(table(spark, root, "documents").select(F.col("doc_id").alias("item_id"), "text", "lang", "source"), "item_id")
 
 
 # The same tables in SQL, as common table expressions.

@@ -91,6 +91,20 @@ def ease_query(spark: SparkSession, d: str) -> DataFrame:
     return weights.withColumn("weight", rounded(F.col("weight")))
 
 
+@query("ease_weights_pair", f"""WITH {b.SQL_INTERACTIONS}, diag AS (SELECT item_id, sum(strength * strength) + 10.0::DOUBLE AS v FROM inter GROUP BY item_id),
+gram AS (SELECT x.item_id AS i, y.item_id AS j, sum(x.strength * y.strength) AS g FROM inter x JOIN inter y ON x.user_id = y.user_id AND x.item_id <> y.item_id GROUP BY ALL),
+near AS (SELECT i, j, g, row_number() OVER (PARTITION BY i ORDER BY g DESC, j) AS r FROM gram QUALIFY r <= 2),
+pairs AS (SELECT p.i, p.j AS a, q.j AS b, p.g AS ga, coalesce(q.g, 0) AS gb, da.v AS da, coalesce(db.v, 1.0) AS db, coalesce(c.g, 0) AS c
+  FROM near p LEFT JOIN near q ON q.i = p.i AND q.r = 2 JOIN diag da ON da.item_id = p.j LEFT JOIN diag db ON db.item_id = q.j LEFT JOIN gram c ON c.i = p.j AND c.j = q.j WHERE p.r = 1)
+SELECT a AS item_id, i AS other_id, round((ga * db - gb * c) / (da * db - c * c), 6) + 0.0 AS weight FROM pairs
+UNION ALL SELECT b, i, round((gb * da - ga * c) / (da * db - c * c), 6) + 0.0 FROM pairs WHERE b IS NOT NULL""")
+def ease_weights_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge weights over the two strongest neighbours, which SQL can solve by hand."""
+    inter, _ = inputs(spark, d)
+    weights = ease_weights(checkpointed(item_gram(inter)), 2, 10.0)
+    return weights.withColumn("weight", rounded(F.col("weight")))
+
+
 @query("ease_recommend")
 def ease_recommend(spark: SparkSession, d: str) -> DataFrame:
     inter, users = inputs(spark, d)

@@ -114,6 +114,14 @@ def ann_ivf(spark: SparkSession, d: str) -> DataFrame:
     return _shown(ann.VectorIndex.build(rows, "IVF_Flat", "inner_product").search(ann.as_queries(rows), K))
 
 
+@query("ann_ivf_all_cells", _sql_flat(SQL_IP, "DESC"))
+def ann_ivf_all_cells(spark: SparkSession, d: str) -> DataFrame:
+    """With all k-means cells probed the cell index is exact."""
+    rows = b.item_vectors(spark, d).select("item_id", "vector")
+    index = ann.VectorIndex.build(rows, "IVF_HNSW", "inner_product", nlist=20, nprobe=20)
+    return _shown(index.search(ann.as_queries(rows), K))
+
+
 @query("index_append", f"""WITH {SQL_CELLS}, fresh AS (SELECT item_id + 1000000 AS item_id, vector FROM vectors WHERE label < 5 UNION ALL SELECT item_id, [-x FOR x IN vector] FROM vectors WHERE label = 9),
 assigned AS (SELECT a.item_id, b.cell FROM fresh a CROSS JOIN centroids b QUALIFY row_number() OVER (PARTITION BY a.item_id ORDER BY {SQL_L2}, b.cell) = 1)
 SELECT item_id, CAST(cell AS INTEGER) AS cell FROM assigned UNION ALL SELECT item_id, label FROM vectors WHERE label <> 9""")
@@ -233,9 +241,10 @@ def terms(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", "term", "tf", "df", rounded(F.col("tfidf")).alias("tfidf"))
 
 
-@query("text_vectors")
+@query("text_vectors", r"""WITH t AS (SELECT doc_id, len([w FOR w IN string_split_regex(lower(text), '[^\p{L}\p{N}]+') IF w <> '']) > 0 AS has_words FROM documents)
+SELECT doc_id AS item_id, CASE WHEN has_words THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length, CAST(384 AS INTEGER) AS dim, CASE WHEN has_words THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS self_score FROM t""")
 def text_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Hashed TF-IDF vectors of all documents, their length and first entries."""
+    """Hashed TF-IDF vectors of all documents: unit length, or zero for a text without words."""
     rows = hashed_vectors(b.item_documents(spark, d).select("item_id", "text"), 384)
     return rows.select("item_id", rounded(v.norm(F.col("vector"))).alias("length"), F.size("vector").alias("dim"), rounded(v.dot(F.col("vector"), F.col("vector"))).alias("self_score"))
 

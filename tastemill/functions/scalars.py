@@ -25,7 +25,7 @@ def parse_id(text: Column) -> Column:
 
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970 of a zone-less timestamp, independent of the session zone."""
-    return F.timestamp_diff("SECOND", F.expr(EPOCH), ts)
+    return F.unix_date(F.to_date(ts)).cast("bigint") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def from_epoch(seconds: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tastemill.functions.scalars import epoch_seconds
 from tastemill.plans.ordered import chunk_scan
 from tastemill.plans.skew import salted_join
 from tastemill.plans.topk import top_k
@@ -16,11 +15,11 @@ SENTENCE = 1000
 
 def by_day(events: DataFrame) -> DataFrame:
     """Chunks of one user: days since 1970."""
-    return events.withColumn("_chunk", F.floor(epoch_seconds(F.col("ts")) / 86400))
+    return events.withColumn("_chunk", F.unix_date(F.to_date("ts")))
 
 
-def _pause(before: Column, ts: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", before, ts)
+def _gap(seconds: int) -> Column:
+    return F.make_dt_interval(secs=F.lit(seconds))
 
 
 def sessionize(events: DataFrame, gap_seconds: int) -> DataFrame:
@@ -30,18 +29,19 @@ def sessionize(events: DataFrame, gap_seconds: int) -> DataFrame:
     days carries the last event, the number of sessions and the length of the open session over to the next day, so the
     longest user history is spread over its days.
     """
-    gap = gap_seconds * 1_000_000
+    gap = _gap(gap_seconds)
     day = Window.partitionBy("user_id", "_chunk").orderBy(*ORDER)
     upto = day.rowsBetween(Window.unboundedPreceding, 0)
-    starts = _pause(F.lag("ts").over(day), F.col("ts")) >= gap
-    local = by_day(events).withColumn("_rn", F.row_number().over(day)).withColumn("_start", F.when(starts, F.col("_rn")))
+    starts = F.col("ts") - F.lag("ts").over(day) >= gap
+    local = by_day(events)
+    local = local.withColumn("_rn", F.row_number().over(day)).withColumn("_start", F.when(starts, F.col("_rn")))
 
     user = Window.partitionBy("user_id").orderBy("_chunk")
     earlier = user.rowsBetween(Window.unboundedPreceding, -1)
     days = local.groupBy("user_id", "_chunk").agg(
         F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.count("*").alias("_n"), F.count("_start").alias("_inner"), F.max("_start").alias("_last_start")
     )
-    pause = _pause(F.lag("_last").over(user), F.col("_first"))
+    pause = F.col("_first") - F.lag("_last").over(user)
     days = days.withColumn("_head", F.when(pause.isNull() | (pause >= gap), 1).otherwise(0))
     sessions = F.col("_head") + F.col("_inner")
     days = days.withColumn("_base", F.coalesce(F.sum(sessions).over(earlier), F.lit(0)) + F.col("_head"))
@@ -73,8 +73,9 @@ def session_sentences(sessions: DataFrame, item: str = "item_id") -> DataFrame:
 
 def next_item_pairs(events: DataFrame, gap_seconds: int) -> DataFrame:
     """Each event with the item that follows it in the same session, that is within the pause."""
-    chunked = chunk_scan(by_day(events), ["user_id"], "_chunk", ORDER, following="_next", columns=("item_id",))
-    follows = chunked.where(_pause(F.col("ts"), F.col("_next.ts")) < gap_seconds * 1_000_000)
+    slim = events.select("user_id", "ts", "event_id", "item_id")
+    chunked = chunk_scan(by_day(slim), ["user_id"], "_chunk", ORDER, following="_next", columns=("item_id",))
+    follows = chunked.where(F.col("_next.ts") - F.col("ts") < _gap(gap_seconds))
     return follows.select("user_id", "event_id", F.col("item_id").alias("prev_item"), F.col("_next.item_id").alias("next_item"))
 
 

@@ -7,6 +7,9 @@ by a table with one row per (key, chunk), made with partial aggregation.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tastemill.session import checkpointed
@@ -27,27 +30,22 @@ def chunk_scan(
     """1-based ``position`` within the key and structs with the ``following`` and ``preceding`` row of the key.
 
     ``order`` is a total order and never goes back from one chunk to the next. The structs hold ``order`` and
-    ``columns`` and are null at the ends of a key. ``df`` is read twice, once for its edges, so an expensive one should
-    be materialised before.
+    ``columns`` and are null at the ends of a key. The edges of the chunks are taken from the same sorted rows, so a
+    ``df`` that holds nothing but keys, order and columns is read and shuffled once.
     """
     row = F.struct(*order, *[c for c in columns if c not in order])
     inside = Window.partitionBy(*keys, chunk).orderBy(*order)
     along = Window.partitionBy(*keys).orderBy(chunk)
-    measures, carried = [], []
-    rows = df
-    if position:
-        measures.append(F.count("*").alias("_scan_n"))
-        carried.append(F.coalesce(F.sum("_scan_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_scan_before"))
-        rows = rows.withColumn("_scan_local", F.row_number().over(inside))
-    if following:
-        measures.append(F.min(row).alias("_scan_first"))
-        carried.append(F.lead("_scan_first").over(along).alias("_scan_next_first"))
-        rows = rows.withColumn("_scan_next", F.lead(row).over(inside))
-    if preceding:
-        measures.append(F.max(row).alias("_scan_last"))
-        carried.append(F.lag("_scan_last").over(along).alias("_scan_prev_last"))
-        rows = rows.withColumn("_scan_prev", F.lag(row).over(inside))
-    edges = df.groupBy(*keys, chunk).agg(*measures).select(*keys, chunk, *carried)
+    known = reduce(and_, [F.col(c).isNotNull() for c in [*keys, chunk]])  # stated here, so that both uses stay one shuffle
+    rows = df.where(known).withColumn("_scan_local", F.row_number().over(inside))
+    rows = rows.withColumn("_scan_next", F.lead(row).over(inside)).withColumn("_scan_prev", F.lag(row).over(inside))
+    ends = rows.where(F.col("_scan_next").isNull() | F.col("_scan_prev").isNull())  # at most two rows per chunk
+    edges = ends.groupBy(*keys, chunk).agg(F.max("_scan_local").alias("_scan_n"), F.min(row).alias("_scan_first"), F.max(row).alias("_scan_last"))
+    before = F.coalesce(F.sum("_scan_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = edges.select(
+        *keys, chunk, before.alias("_scan_before"),
+        F.lead("_scan_first").over(along).alias("_scan_next_first"), F.lag("_scan_last").over(along).alias("_scan_prev_last"),
+    )
     result = rows.join(edges, [*keys, chunk])
     if position:
         result = result.withColumn(position, F.col("_scan_before") + F.col("_scan_local"))
@@ -55,7 +53,7 @@ def chunk_scan(
         result = result.withColumn(following, F.coalesce("_scan_next", "_scan_next_first"))
     if preceding:
         result = result.withColumn(preceding, F.coalesce("_scan_prev", "_scan_prev_last"))
-    return result.drop("_scan_before", "_scan_local", "_scan_next", "_scan_next_first", "_scan_prev", "_scan_prev_last")
+    return result.drop(*[c for c in result.columns if c.startswith("_scan_")])
 
 
 def dense_index(df: DataFrame, order: list[Column | str], out: str, start: int = 0) -> DataFrame:

@@ -18,11 +18,11 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salt_by: list[
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Rows of a plain scan over at least as many tasks as there are cores.
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Rows of a plain scan over at least as many tasks as there are cores, placed by a unique ``key``.
 
     For heavy work per row (text, parsing) behind a few unsplittable files. With more input splits than cores, as on
     large data, nothing happens.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
