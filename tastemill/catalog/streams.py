@@ -107,7 +107,7 @@ def stream_foldin(spark: SparkSession, d: str) -> DataFrame:
     clicks.where(bought).select(*columns).write.mode("append").parquet(f"{root}/feed")
     inter = checkpointed(interactions(events))
     model = ALSModel(factors=8, regularization=0.05, iterations=3).fit(inter)
-    worker = UpdateWorker(spark, root, model.item_vectors(), 8, 0.05, 1.0)
+    worker = UpdateWorker(spark, root, model.item_vectors(), 8, 0.05, 1.0, buckets=8)
     schema = events.schema
 
     def run() -> None:

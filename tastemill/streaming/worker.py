@@ -59,11 +59,11 @@ class UpdateWorker:
     rewritten as a whole when a batch is repeated, so restarts do not count twice.
     """
 
-    def __init__(self, spark: SparkSession, root: str, item_vectors: DataFrame, factors: int, regularization: float, alpha: float, content_vectors: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, root: str, item_vectors: DataFrame, factors: int, regularization: float, alpha: float, content_vectors: DataFrame | None = None, buckets: int = USER_BUCKETS):
         self.spark, self.root = spark, root
         self.factors, self.regularization, self.alpha = factors, regularization, alpha
         self.content = content_vectors
-        self.log = InteractionLog(spark, f"{root}/interactions")
+        self.log = InteractionLog(spark, f"{root}/interactions", buckets)
         self.users = FactorLog(spark, f"{root}/user_vectors", "user_id")
         self.items = FactorLog(spark, f"{root}/item_vectors", "item_id")
         if not path_exists(spark, f"{root}/item_vectors"):
