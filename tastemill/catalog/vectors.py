@@ -14,7 +14,6 @@ from tastemill.models.item2vec import profile_recommend
 from tastemill.models.text import cache_misses, content_recommend, hashed_vectors, item_texts, tfidf_terms
 from tastemill.operators import ann, profiles
 from tastemill.operators.sequences import next_item_pairs
-from tastemill.operators.interactions import interactions
 
 K = 10
 

@@ -59,7 +59,7 @@ def chunk_scan(
 def dense_index(df: DataFrame, order: list[Column | str], out: str, start: int = 0) -> DataFrame:
     """Consecutive numbers in the given total order, by a range-partitioned sort instead of one global window.
 
-    The sorted rows are checkpointed, because a row number is only meaningful for one fixed partitioning.
+    The sorted rows are written first, because a row number is only meaningful for one fixed partitioning.
     """
     fixed = checkpointed(df.orderBy(*order).withColumn("_seq", F.monotonically_increasing_id()))
     fixed = fixed.withColumn("_part", F.shiftright("_seq", _ROW_BITS)).withColumn("_row", F.col("_seq").bitwiseAND((1 << _ROW_BITS) - 1))

@@ -55,6 +55,8 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise once in the shared folder; later reads survive the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write once into the shared folder and read the table: lineage ends there, so the loss of executors costs no
+    recomputation, columns can be pruned, and the optimizer knows the real size."""
+    path = work_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
