@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tastemill.llm.common import SPACES, free_names, words_of
+from tastemill.llm.common import free_names, words_of
 from tastemill.session import checkpointed
 
 LEAST_WORDS = 20
@@ -34,33 +34,40 @@ RATES = {"symbols": (20, None), "lines": (350, None), "repeats": (280, None), "l
 
 def features(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed (each with ``prefix``)."""
-    work = free_names(docs, *(f"{prefix}__{x}" for x in ("text", "words", "lines", "windows", "placed", "at")))
-    body, words, lines, windows, placed, at = work
+    work = free_names(docs, *(f"{prefix}__{x}" for x in ("text", "words", "lines", "hashes", "halves", "windows", "placed", "at")))
+    body, words, lines, hashes, halves, windows, placed, at = work
     c = lambda name: F.col(f"`{name}`")
     out = docs.withColumn(body, F.coalesce(c(text), F.lit(""))).withColumns({
         words: words_of(c(body)),
         lines: F.filter(F.split(c(body), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
     })
-    out = out.withColumn(windows, F.when(F.size(c(words)) > WINDOW, F.transform(F.sequence(F.lit(1), F.size(c(words)) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(c(words), i, WINDOW)))))
+    out = out.withColumn(hashes, F.transform(c(words), lambda x: F.xxhash64(x)))
+    # A window is a pair of half windows; where no half occurs twice, no window does.
+    half = WINDOW // 2
+    steps = lambda a, width: F.sequence(F.lit(0), F.size(a) - width)
+    out = out.withColumn(halves, F.when(F.size(c(hashes)) > WINDOW, F.transform(steps(c(hashes), half), lambda i: F.xxhash64(*(F.get(c(hashes), i + k) for k in range(half))))))
+    out = out.withColumn(windows, F.when(F.size(F.array_distinct(c(halves))) < F.size(c(halves)), F.transform(steps(c(halves), half + 1), lambda i: F.xxhash64(F.get(c(halves), i), F.get(c(halves), i + half)))))
     # The few documents in which a window occurs twice: their windows in the order of their hashes, then the places of repeated ones.
     twice = F.size(F.array_distinct(c(windows))) < F.size(c(windows))
-    out = out.withColumn(placed, F.when(twice, F.array_sort(F.transform(c(windows), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    out = out.withColumn(placed, F.when(twice, F.sort_array(F.transform(c(windows), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda x, i, step: F.get(c(placed), i + step)["h"].eqNullSafe(x["h"])
     repeated = F.filter(c(placed), lambda x, i: same(x, i, 1) | ((i > 0) & same(x, i, -1)))
-    out = out.withColumn(at, F.when(c(placed).isNotNull(), F.array_sort(F.transform(repeated, lambda x: x["i"]))))
+    out = out.withColumn(at, F.when(c(placed).isNotNull(), F.sort_array(F.transform(repeated, lambda x: x["i"]))))
     covered = F.aggregate(
         c(at), F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
         lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"],
     )
-    count = lambda col: col.cast("bigint")
-    return out.withColumns({
-        f"{prefix}n_words": count(F.size(c(words))),
-        f"{prefix}word_chars": count(F.char_length(F.regexp_replace(c(body), SPACES, ""))),
-        f"{prefix}n_symbols": count(F.regexp_count(c(body), F.lit(r"[#*$%&|<>]"))),
-        f"{prefix}n_lines": count(F.size(c(lines))),
-        f"{prefix}n_dup_lines": count(F.size(c(lines)) - F.size(F.array_distinct(c(lines)))),
-        f"{prefix}n_repeat_words": count(F.coalesce(covered, F.lit(0))),
-    }).drop(*work).withColumn(f"{prefix}base_failed", (c(f"{prefix}n_words") < LEAST_WORDS) | (100 * c(f"{prefix}n_repeat_words") > REPEATED_PERCENT * c(f"{prefix}n_words")))
+    measures = {
+        "n_words": F.size(c(words)),
+        "word_chars": F.aggregate(c(words), F.lit(0).cast("bigint"), lambda n, x: n + F.char_length(x)),
+        "n_symbols": F.regexp_count(c(body), F.lit(r"[#*$%&|<>]")),
+        "n_lines": F.size(c(lines)),
+        "n_dup_lines": F.size(c(lines)) - F.size(F.array_distinct(c(lines))),
+        "n_repeat_words": F.coalesce(covered, F.lit(0)),
+    }
+    # As rows of a one-row table: a filter on the results is then not worked into the expressions above, where it would repeat them.
+    row = F.inline(F.array(F.struct(*(value.cast("bigint").alias(f"{prefix}{name}") for name, value in measures.items()))))
+    return out.select(*(c(name) for name in docs.columns), row).withColumn(f"{prefix}base_failed", (c(f"{prefix}n_words") < LEAST_WORDS) | (100 * c(f"{prefix}n_repeat_words") > REPEATED_PERCENT * c(f"{prefix}n_words")))
 
 
 def rates(prefix: str = "") -> dict[str, Column]:
