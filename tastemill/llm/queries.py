@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import packing, quality, repeats, secrets, shingle_join
+from tastemill.llm import bpe, packing, quality, repeats, secrets, shingle_join
 from tastemill.llm.common import table
-from tastemill.llm.registry import query
+from tastemill.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 #: Words with their place, the lines, and the repeated 8-word windows of every document, for DuckDB.
 QUALITY_SQL = r"""
@@ -112,3 +112,9 @@ def op2_ngram_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
 def op3_suffix_array_dedup(spark: SparkSession, root: str) -> DataFrame:
     """What is left of every document without the 400-byte strings that occur twice."""
     return repeats.report(table(spark, root, "documents"))
+
+
+@query()
+def op5_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
+    """Token ids of every document, and the bytes that they decode to, as digests."""
+    return bpe.report(table(spark, root, "documents"))
