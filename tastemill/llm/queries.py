@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import bpe, packing, quality, repeats, secrets, shingle_join
+from tastemill.llm import bpe, packing, quality, repeats, secrets, shingle_join, token_counts
 from tastemill.llm.common import table
 from tastemill.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -118,3 +118,9 @@ def op3_suffix_array_dedup(spark: SparkSession, root: str) -> DataFrame:
 def op5_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document, and the bytes that they decode to, as digests."""
     return bpe.report(table(spark, root, "documents"))
+
+
+@query()
+def op1_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Pre-tokens and tokens of every document under the unigram costs."""
+    return token_counts.count_tokens(table(spark, root, "documents"))
