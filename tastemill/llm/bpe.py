@@ -8,8 +8,8 @@ the length of the longest token.
 Two tokens fit when no pair of parts that stand at their border at the same time would be merged before one of them goes into its own next merge. The
 parts are the right edge of the left token's merge tree and the left edge of the right token's.
 
-The vocabulary file is read by the driver and sent as it is (its size does not depend on the data). Within a task, the encoding of each pre-token is kept
-in a table of bounded size.
+The vocabulary file is read by the driver and sent as it is (its size does not depend on the data). A worker keeps the encodings of
+pre-tokens in a table of bounded size.
 
 Defined cases: a null text is the empty text, with no tokens; repeated rows and null ids stay; texts of any length are encoded whole; an empty table gives an
 empty result; further columns are ignored.
@@ -32,8 +32,8 @@ from tastemill.plans.skew import spread
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SLICE = 4 << 20
-#: Pre-tokens kept per task, the longest that is kept, and token pairs kept.
-KEPT, KEPT_LENGTH, KEPT_PAIRS = 200_000, 64, 2_000_000
+#: Pre-tokens kept per worker, the longest that is kept, and token pairs kept.
+KEPT, KEPT_LENGTH, KEPT_PAIRS = 400_000, 64, 1_000_000
 
 
 class Merges:
@@ -45,7 +45,7 @@ class Merges:
         self.longest = max(map(len, ranks))
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self.fitting: dict[tuple[int, int], bool] = {}
+        self.fitting: dict[int, bool] = {}
 
     def parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte or a token that merges do not reach."""
@@ -77,16 +77,14 @@ class Merges:
         return self.edges[key]
 
     def fits(self, left: int, right: int) -> bool:
-        key = (left, right)
-        known = self.fitting.get(key)
-        if known is None:
-            known = self._fits(left, right)
-            if len(self.fitting) >= KEPT_PAIRS:
-                self.fitting.clear()
-            self.fitting[key] = known
+        """Whether the two stay apart when their bytes are encoded together. Known pairs are kept under ``left << 20 | right``."""
+        known = self.reached(left) and self.reached(right) and self._apart(left, right)
+        if len(self.fitting) >= KEPT_PAIRS:
+            self.fitting.clear()
+        self.fitting[left << 20 | right] = known
         return known
 
-    def _fits(self, left: int, right: int) -> bool:
+    def _apart(self, left: int, right: int) -> bool:
         for a, a_into in self.edge(left, 1):
             for b, b_into in self.edge(right, 0):
                 merged = self.ranks.get(self.tokens[a] + self.tokens[b])
@@ -104,18 +102,30 @@ class Encoding:
         self.merges, self.data, self.last = merges, b"", []
         self.append(data)
 
-    def _next(self) -> int:
-        end = len(self.last) + 1
-        for start in range(max(0, end - self.merges.longest), end):
-            token = self.merges.ranks.get(self.data[start:end])
-            if token is not None and self.merges.reached(token) and (start == 0 or self.merges.fits(self.last[start - 1], token)):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+    def _add(self, count: int) -> None:
+        """The entries of the next prefixes: the longest token first, as it fits most often, though only one does."""
+        data, last, longest = self.data, self.last, self.merges.longest
+        rank, known, fits = self.merges.ranks.get, self.merges.fitting.get, self.merges.fits
+        for end in range(len(last) + 1, len(last) + 1 + count):
+            for start in range(max(0, end - longest), end):
+                token = rank(data[start:end])
+                if token is not None:
+                    if start:
+                        before = last[start - 1]
+                        good = known(before << 20 | token)
+                        if good is None:
+                            good = fits(before, token)
+                    else:
+                        good = self.merges.reached(token)
+                    if good:
+                        last.append(token)
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
 
     def append(self, data: bytes) -> None:
         self.data += data
-        while len(self.last) < len(self.data):
-            self.last.append(self._next())
+        self._add(len(data))
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` in place of the bytes from start to end. Returns how many entries were computed."""
@@ -123,9 +133,9 @@ class Encoding:
         self.data = self.data[:start] + new + self.data[end:]
         self.last, agreed = old[:start], 0
         while len(self.last) < len(self.data) and agreed < self.merges.longest:
-            token, at = self._next(), len(self.last)
-            agreed = agreed + 1 if at >= start + len(new) and old[at + shift] == token else 0
-            self.last.append(token)
+            at = len(self.last)
+            self._add(1)
+            agreed = agreed + 1 if at >= start + len(new) and old[at + shift] == self.last[at] else 0
         computed = len(self.last) - start
         self.last += old[len(self.last) + shift :] if len(self.last) < len(self.data) else []
         return computed
@@ -164,6 +174,12 @@ def merges_of(data: bytes) -> Merges:
     return Merges(read_ranks(data))
 
 
+@lru_cache(2)
+def pre_tokens(data: bytes) -> PreTokens:
+    """Shared by the tasks that a Python worker runs one after the other."""
+    return PreTokens(merges_of(data))
+
+
 def encode(text: str, words: PreTokens, pattern) -> list[int]:
     return list(chain.from_iterable(map(words.__getitem__, pattern.findall(text))))
 
@@ -194,7 +210,7 @@ def _over(docs: DataFrame, vocabulary: str | None, pattern: str, columns: str, m
 
     def run(batches):
         merges, split = merges_of(sent.value), regex.compile(pattern)
-        words = PreTokens(merges)
+        words = pre_tokens(sent.value)
         for batch in sliced(batches, "text", SLICE):
             rows = []
             for text in batch.column("text").to_pylist():
