@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastemill.llm import bpe, packing, quality, repeats, secrets, shingle_join, token_counts
+from tastemill.llm import bpe, packing, quality, repeats, secrets, shingle_join, token_counts, vector_graph, wrappers
 from tastemill.llm.common import table
 from tastemill.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -124,3 +124,15 @@ def op5_byte_bpe(spark: SparkSession, root: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, root: str) -> DataFrame:
     """Pre-tokens and tokens of every document under the unigram costs."""
     return token_counts.count_tokens(table(spark, root, "documents"))
+
+
+@query()
+def op6_html_extraction(spark: SparkSession, root: str) -> DataFrame:
+    """The main text of every page."""
+    return wrappers.extract(table(spark, root, "pages"))
+
+
+@query()
+def op9_hnsw_search(spark: SparkSession, root: str) -> DataFrame:
+    """The 20 nearest others of every vector whose id is divisible by 20."""
+    return vector_graph.search(table(spark, root, "embeddings"), (F.col("vec_id") % 20) == 0)

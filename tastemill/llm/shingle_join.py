@@ -5,13 +5,13 @@ sets link when their Jaccard similarity is at least 0.8; the result names the co
 
 1. One pass describes every document: set size and a 64-bit fingerprint of the set (the sum of its scrambled shingle
    hashes). Documents with equal sets form a class, and only classes go on. The same pass counts shingles in two
-   tables of 65,536 cells, whatever the size of the corpus; they tell which shingles are frequent.
+   tables of a million cells, whatever the size of the corpus; they tell which shingles are frequent.
 2. A token order sorts shingles by frequency class (frequent last), then by a hash of its own. Under any such order two sets that
    link share a shingle among the first ``n - ceil(0.8 n) + 1`` of each. The first order's prefixes are dealt by shingle, which gives
    the buckets; a pair must also meet in the prefixes under the second and third order before its sets are compared.
-3. Only components are asked for, so a bucket need not be paired out. In each round every class of a bucket is tried against one of the bucket
-   (another one each round) unless both are already in one component, and buckets whose classes are all in one component are done. When what is
-   left is small, or after ``STAR_ROUNDS`` rounds, all pairs of different components are tried, so no link between components is lost.
+3. Only components are asked for, so a bucket need not be paired out. In each round the classes of a bucket are tried against one of them (another one each
+   round) where both share enough buckets to look promising and are not in one component yet; buckets whose classes are all in one component are done. When
+   few pairs are left, or after ``STAR_ROUNDS`` rounds, all pairs of different components that share enough of their prefixes are tried, so no link between components is lost.
 
 Hashes have 64 bits. With N classes two different sets share a fingerprint with a probability below N * N / 2**65.
 
@@ -23,7 +23,9 @@ and kept by ``keep_one`` whatever their names.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from tastemill.llm.common import Rolling, flat_bytes, free_names, mixed, sliced, word_spans
@@ -32,12 +34,13 @@ from tastemill.plans.skew import spread
 from tastemill.session import checkpointed
 
 WIDTH = 5
-CELLS = 1 << 16
+#: Cells of each of the two frequency tables, and of a stored part of them.
+CELLS, PART = 1 << 20, 1 << 14
 SLICE = 2 << 20
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
-STAR_ROUNDS = 5
-#: All pairs of a round are tried at once when there are at most so many for each of its rows.
-PAIRS_PER_ROW = 4
+STAR_ROUNDS = 4
+#: All pairs are tried at once when buckets hold at most so many for each of their rows.
+PAIRS_PER_ROW = 8
 #: Odd factors of a shingle's words.
 FACTORS = mixed(np.arange(1, WIDTH + 1)) | np.uint64(1)
 
@@ -77,10 +80,15 @@ def by_row(row: np.ndarray, key: np.ndarray, *more: np.ndarray):
     return row[order], key[order], *(x[order] for x in more)
 
 
+def cells_of(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's cell in either table."""
+    return (token & np.uint64(CELLS - 1)).astype(np.int64), ((token >> np.uint64(20)) & np.uint64(CELLS - 1)).astype(np.int64)
+
+
 def prefixes(row: np.ndarray, token: np.ndarray, size: np.ndarray, ranks: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and shingle of the prefixes under one order."""
-    low, high = token & np.uint64(CELLS - 1), (token >> np.uint64(16)) & np.uint64(CELLS - 1)
-    rank = np.minimum(ranks[0][low.astype(np.int64)], ranks[1][high.astype(np.int64)]).astype(np.uint64)
+    low, high = cells_of(token)
+    rank = np.minimum(ranks[0][low], ranks[1][high]).astype(np.uint64)
     key = (rank << np.uint64(58)) | (mixed(token ^ np.uint64(ORDERS[order])) >> np.uint64(6))
     row, _, token = by_row(row, key, token)
     first = np.cumsum(size) - size
@@ -97,37 +105,44 @@ def fingerprint(row: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n, node) per document, and (cell, seen) per task and cell of the frequency tables."""
+    """(doc_id, h, n, node) per document, and (part, seen) per task and part of the frequency tables."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "h", "n", "node", "part", "seen"]
 
     def run(batches):
-        roll, seen, kind = Rolling(fold_case=True), np.zeros((2, CELLS), np.int64), None
+        roll, seen, kind = Rolling(fold_case=True), np.zeros((2, CELLS), np.uint32), None
         for batch in sliced(batches, "text", SLICE):
             row, token, size = sets_of(batch.column("text"), roll)
-            seen[0] += np.bincount((token & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            seen[1] += np.bincount(((token >> np.uint64(16)) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            kind, none = batch.column("doc_id").type, pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(size.astype(np.int64)), pa.array(fingerprint(row, token, batch.num_rows)), none.cast(pa.int32()), none], ["doc_id", "h", "n", "node", "cell", "seen"])
+            for table, cell in zip(seen, cells_of(token), strict=True):
+                np.add.at(table, cell, np.uint32(1))
+            kind, many = batch.column("doc_id").type, batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(size.astype(np.int64)), pa.array(fingerprint(row, token, many)), pa.nulls(many, pa.int32()), pa.nulls(many, pa.binary())], names)
         if kind is not None:
-            flat = seen.ravel()
-            cell = np.flatnonzero(flat)
-            none = pa.nulls(len(cell), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(cell), kind), none, none, none, pa.array(cell.astype(np.int32)), pa.array(flat[cell])], ["doc_id", "h", "n", "node", "cell", "seen"])
+            parts = seen.reshape(-1, PART)
+            held = np.flatnonzero(parts.any(axis=1))
+            none = pa.nulls(len(held), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(held), kind), none, none, none, pa.array(held.astype(np.int32)), pa.array([parts[k].tobytes() for k in held], pa.binary())], names)
 
     source = spread(docs.select("doc_id", "text"), "doc_id").withColumn("h", F.xxhash64("text"))
-    return checkpointed(source.mapInArrow(run, f"doc_id {id_type}, h bigint, n bigint, node bigint, cell int, seen bigint"))
+    return checkpointed(source.mapInArrow(run, f"doc_id {id_type}, h bigint, n bigint, node bigint, part int, seen binary"))
 
 
 def frequency_ranks(described: DataFrame) -> np.ndarray:
-    """For each cell of the two tables how many times its count doubles twice the mean: 0 for shingles that are not frequent."""
-    counts = np.zeros(2 * CELLS)
-    for cell, seen in described.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("seen")).toLocalIterator():
-        counts[cell] = seen
-    mean = max(counts.sum() / len(counts), 1)
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 63).astype(np.int8).reshape(2, CELLS)
+    """For each cell of the two tables how many times its count doubles the mean: 0 for shingles that are not frequent. The tables have a fixed size."""
+    mean = max((described.agg(F.sum("n")).first()[0] or 0) / CELLS, 1)
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        counts = sum(np.frombuffer(x, np.uint32).astype(np.float64) for x in part["seen"])
+        ranks = np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 63).astype(np.int8)
+        return pd.DataFrame({"part": [part["part"].iloc[0]], "ranks": [ranks.tobytes()]})
 
+    ranks = np.zeros((2 * CELLS // PART, PART), np.int8)
+    for part, row in described.where("part IS NOT NULL").select("part", "seen").groupBy("part").applyInPandas(summed, "part int, ranks binary").toLocalIterator():
+        ranks[part] = np.frombuffer(row, np.int8)
+    return ranks.reshape(2, CELLS)
 
-def first_prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
+
+def first_prefixes(docs: DataFrame, ranks: Broadcast) -> DataFrame:
     """(token, node, n): prefixes under the first order, each set once per slice of a task's input."""
 
     def run(batches):
@@ -137,7 +152,7 @@ def first_prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
             node = fingerprint(row, token, batch.num_rows)
             once = np.zeros(len(node), bool)
             once[np.unique(node, return_index=True)[1]] = True
-            row, token = prefixes(row, token, size, ranks, 0)
+            row, token = prefixes(row, token, size, ranks.value, 0)
             keep = once[row]
             row, token = row[keep], token[keep]
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node[row]), pa.array(size[row].astype(np.int32))], ["token", "node", "n"])
@@ -145,7 +160,7 @@ def first_prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     return spread(docs.select("doc_id", "text"), "doc_id").select("text").mapInArrow(run, "token bigint, node bigint, n int")
 
 
-def similar(pairs: DataFrame, ranks: np.ndarray) -> DataFrame:
+def similar(pairs: DataFrame, ranks: Broadcast) -> DataFrame:
     """The (a, b) pairs that pass the other orders' filters and whose sets then prove similar enough."""
 
     def common(x, y, n: int) -> np.ndarray:
@@ -164,7 +179,7 @@ def similar(pairs: DataFrame, ranks: np.ndarray) -> DataFrame:
                     sides = []
                     for row, token, size in (left, right):
                         keep = passed[row]
-                        sides.append(prefixes(row[keep], token[keep], np.where(passed, size, 0), ranks, order))
+                        sides.append(prefixes(row[keep], token[keep], np.where(passed, size, 0), ranks.value, order))
                     passed &= common(*sides, n) > 0
                 x, y = ((row[passed[row]], token[passed[row]]) for row, token, _ in (left, right))
                 both = common(x, y, n)
@@ -178,10 +193,17 @@ def close_in_size(n: str, m: str):
     return (F.col(n) * 5 >= F.col(m) * 4) & (F.col(m) * 5 >= F.col(n) * 4)
 
 
+def enough(k: str, n: str, m: str):
+    """Whether ``k`` shared shingles in the prefixes leave room for a link. Of two prefixes take the one whose last shingle comes first: what the sets share
+    beyond ``k`` stands behind it, in the rest of its set, so ``k`` and the longer of both rests must reach the overlap that a link needs."""
+    rest = lambda x: F.expr(f"{x} - {x} div 5 - 1")
+    return F.col(k) + F.greatest(rest(n), rest(m)) >= F.expr(f"(4 * ({n} + {m}) + 8) div 9")
+
+
 def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     """(node, root) of the classes that have links to others."""
     spark = docs.sparkSession
-    ranks = frequency_ranks(described)
+    ranks = spark.sparkContext.broadcast(frequency_ranks(described))
     dealt = first_prefixes(docs, ranks).repartition("token").dropDuplicates(["token", "node"])
     shared = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select(F.col("token").alias("t"))
     rows = checkpointed(dealt.join(shared, F.col("token") == F.col("t"), "left_semi"))
@@ -192,30 +214,34 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     texts = body.join(chosen, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h"))).select("node", "text")
     texts = checkpointed(texts)
 
-    labels = rows.select("node").distinct().select("node", F.col("node").alias("root"))
+    labels = None
     links = spark.createDataFrame([], "a bigint, b bigint")
     for step in range(STAR_ROUNDS + 1):
-        current = rows.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of") if step else rows.withColumn("root", F.col("node"))
+        current = rows.withColumn("root", F.col("node")) if labels is None else rows.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
         hub = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("o"), "node", "n", "root")).alias("hub")
-        buckets = current.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("low"), F.max("root").alias("high"), hub).where("low < high")
-        current = checkpointed(current.join(buckets.select("t", "hub", "many"), F.col("token") == F.col("t")).drop("t"))
-        size, pairs = current.agg(F.count(F.lit(1)), F.sum(F.expr("many - 1")) / 2).first()
+        groups = current.groupBy(F.col("token").alias("t"), "root").agg(F.count(F.lit(1)).alias("c"), hub)
+        buckets = groups.groupBy("t").agg(F.count(F.lit(1)).alias("roots"), F.min("hub").alias("hub"), F.sum("c").alias("many"), F.expr("(sum(c) * sum(c) - sum(c * c)) / 2").alias("pairs")).where("roots > 1")
+        current = checkpointed(current.join(buckets.select("t", "hub", F.expr("pairs / many").alias("share")), F.col("token") == F.col("t")).drop("t"))
+        size, pairs = current.agg(F.count(F.lit(1)), F.sum("share")).first()
         if not size:
             break
         last = step == STAR_ROUNDS or pairs <= PAIRS_PER_ROW * size
         if last:
             x, y = (current.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "ab")
-            tried = x.join(y, "token").where("root_a <> root_b AND node_a < node_b").where(close_in_size("n_a", "n_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+            met = x.join(y, (x.token == y.token) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b")) & close_in_size("n_a", "n_b"))
+            met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+            tried = met.where(enough("k", "n_a", "n_b"))
         else:
-            tried = current.where(F.col("root") != F.col("hub.root")).where(close_in_size("n", "hub.n")).select(F.least("node", F.col("hub.node")).alias("a"), F.greatest("node", F.col("hub.node")).alias("b"))
-        tried = tried.distinct()
+            met = current.where((F.col("root") != F.col("hub.root")) & close_in_size("n", "hub.n"))
+            met = met.groupBy(F.least("node", F.col("hub.node")).alias("a"), F.greatest("node", F.col("hub.node")).alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
+            tried = met.where("k * 20 >= n")  # only where it looks promising: what is passed over here is met in the last round
         side = lambda s: texts.select(F.col("node").alias(f"of_{s}"), F.col("text").alias(f"text_{s}"))
-        joined = tried.join(side("a"), F.col("a") == F.col("of_a")).join(side("b"), F.col("b") == F.col("of_b"))
+        joined = tried.select("a", "b").join(side("a"), F.col("a") == F.col("of_a")).join(side("b"), F.col("b") == F.col("of_b"))
         links = checkpointed(links.unionByName(similar(joined, ranks)))
-        found = components(links)
-        labels = checkpointed(rows.select("node").distinct().join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root")))
         if last:
             break
+        found = components(links)
+        labels = checkpointed(rows.select("node").distinct().join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root")))
         rows = current.select("token", "node", "n")
     return components(links)
 
@@ -228,7 +254,7 @@ def classify(docs: DataFrame) -> DataFrame:
     classes = checkpointed(classes)
     heads = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = classes.join(heads, "root").select(F.col("node").alias("of"), "root", "component_id")
-    rows = described.where("cell IS NULL").join(named, (F.col("n") > 0) & (F.col("node") == F.col("of")), "left")
+    rows = described.where("part IS NULL").join(named, (F.col("n") > 0) & (F.col("node") == F.col("of")), "left")
     return rows.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root")
 
 
