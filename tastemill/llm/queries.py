@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastemill.llm import bpe, packing, quality, repeats, secrets, shingle_join, token_counts, vector_graph, wrappers
+from tastemill.llm import bpe, chaining, packing, quality, repeats, secrets, shingle_join, token_counts, vector_graph, wrappers
 from tastemill.llm.common import table
 from tastemill.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -136,3 +136,9 @@ def op6_html_extraction(spark: SparkSession, root: str) -> DataFrame:
 def op9_hnsw_search(spark: SparkSession, root: str) -> DataFrame:
     """The 20 nearest others of every vector whose id is divisible by 20."""
     return vector_graph.search(table(spark, root, "embeddings"), (F.col("vec_id") % 20) == 0)
+
+
+@query()
+def op7_substring_chaining(spark: SparkSession, root: str) -> DataFrame:
+    """Passages of 50 words or more that a document shares, exactly or nearly, with one of smaller id."""
+    return chaining.report(table(spark, root, "documents"))
