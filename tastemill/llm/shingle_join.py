@@ -205,7 +205,8 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(frequency_ranks(described))
     dealt = first_prefixes(docs, ranks).repartition("token").dropDuplicates(["token", "node"])
-    shared = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select(F.col("token").alias("t"))
+    # The largest set is asked for so that both readers of the exchange want the same columns, and it is made once.
+    shared = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.max("n").alias("largest")).where("many > 1 AND largest > 0").select(F.col("token").alias("t"))
     rows = checkpointed(dealt.join(shared, F.col("token") == F.col("t"), "left_semi"))
 
     # One text of each class that meets another one.
