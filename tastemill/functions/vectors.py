@@ -63,13 +63,11 @@ def sum_vectors(df: DataFrame, keys: list[str], column: str, dim: int, out: str,
 
 
 def mean_vectors(df: DataFrame, keys: list[str], column: str, dim: int, out: str, weight: str | None = None) -> DataFrame:
-    """(Weighted) mean vector per key."""
-    v = F.col(column)
-    if dim > WIDE:
-        mean = vector_to_array(Summarizer.mean(array_to_vector(v.cast("array<double>")), *([F.col(weight)] if weight else [])))
-    elif weight is None:
-        mean = F.array(*[F.avg(v.getItem(i)) for i in range(dim)])
-    else:
-        w = F.col(weight)
-        mean = F.array(*[F.sum(w * v.getItem(i)) / F.sum(w) for i in range(dim)])
-    return df.groupBy(*keys).agg(mean.alias(out))
+    """(Weighted) mean vector per key: the sum of the weighted vectors over the sum of the weights, for any width and sign.
+
+    Null where the weights add up to 0."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    scaled = df.withColumn("_scaled", F.transform(F.col(column).cast("array<double>"), lambda x: x * w))
+    scaled = sum_vectors(scaled, keys, "_scaled", dim, "_sum", F.sum(w).alias("_weight"))
+    mean = F.when(F.col("_weight") != 0, F.transform("_sum", lambda x: x / F.col("_weight")))
+    return scaled.select(*keys, mean.alias(out))

@@ -86,4 +86,4 @@ def load_model(spark: SparkSession, path: str) -> Recommender:
     meta = json.loads(read_text(spark, f"{path}/model.json"))
     model = create_model(meta["model_type"], **meta["params"])
     model.tables = {name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}
-    return model
+    return model.with_components([load_model(spark, f"{path}/{name}") for name in meta["components"]]) if "components" in meta else model

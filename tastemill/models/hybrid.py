@@ -13,7 +13,7 @@ from tastemill.models.base import Recommender, load_model, register
 from tastemill.operators.interactions import user_history_size
 from tastemill.operators.profiles import first_available
 from tastemill.plans.topk import top_k
-from tastemill.sources.tables import path_exists, read_text, write_text
+from tastemill.sources.tables import write_text
 
 log = logging.getLogger(__name__)
 
@@ -22,7 +22,6 @@ CONTENT_MODELS = ("text_embedding", "lightfm", "item2vec")
 COLLABORATIVE_MODELS = ("als", "bpr", "ease")
 MIN_WEIGHT = 0.001
 POOL_FACTOR = 3
-POOL_CAP = 100
 MOVED_SHARE = 0.7
 COLD_START_THRESHOLD = 5
 
@@ -70,8 +69,8 @@ def fuse(lists: DataFrame, weights: DataFrame, k: int) -> DataFrame:
 
     ``lists(user_id, model, item_id, score)``, ``weights(model, weight)`` or ``weights(user_id, model, weight)``.
     """
-    pool = top_k(lists, ["user_id", "model"], [F.desc("score"), F.asc("item_id")], min(k * POOL_FACTOR, POOL_CAP), "_r").drop("_r")
-    per_list = Window.partitionBy("user_id", "model")  # at most POOL_CAP rows
+    pool = top_k(lists, ["user_id", "model"], [F.desc("score"), F.asc("item_id")], k * POOL_FACTOR, "_r").drop("_r")
+    per_list = Window.partitionBy("user_id", "model")  # at most POOL_FACTOR * k rows
     scaled = pool.withColumn("_s", min_max(F.col("score"), F.min("score").over(per_list), F.max("score").over(per_list)))
     on = ["user_id", "model"] if "user_id" in weights.columns else ["model"]
     weighted = scaled.join(weights.where(F.col("weight") > MIN_WEIGHT), on)
@@ -111,7 +110,7 @@ class HybridModel(Recommender):
     def recommend(self, users: DataFrame, history: DataFrame, k: int = 10, exclude_seen: bool = True) -> DataFrame:
         if not self.components:
             raise RuntimeError("the hybrid has no components")
-        pool = min(k * POOL_FACTOR, POOL_CAP)
+        pool = k * POOL_FACTOR
         lists = [
             c.recommend(users, history, pool, exclude_seen).select("user_id", F.lit(c.model_type).alias("model"), "item_id", F.col("score").cast("double"))
             for c in self.components
@@ -136,10 +135,10 @@ class HybridModel(Recommender):
 
 
 def load_hybrid(spark: SparkSession, path: str) -> HybridModel:
-    if not path_exists(spark, f"{path}/model.json"):
-        raise FileNotFoundError(f"no model at {path}")
-    meta = json.loads(read_text(spark, f"{path}/model.json"))
-    return HybridModel(**meta["params"]).with_components([load_model(spark, f"{path}/{name}") for name in meta["components"]])
+    model = load_model(spark, path)
+    if not isinstance(model, HybridModel):
+        raise ValueError(f"the model at {path} is no hybrid")
+    return model
 
 
 def compose(spark: SparkSession, model_dirs: list[str], **params) -> HybridModel:

@@ -99,7 +99,7 @@ def popular_unseen(users: DataFrame, inter: DataFrame, popularity: DataFrame, k:
 
 def buffered_k(k: int, filters: Filters) -> int:
     """List length requested before filtering in the compatibility mode."""
-    return min(k * BUFFER_FACTOR if filters.asks_buffer() else k, BUFFER_CAP)
+    return max(k, min(k * BUFFER_FACTOR, BUFFER_CAP)) if filters.asks_buffer() else k
 
 
 def paginate(df: DataFrame, page: int | Column, page_size: int | Column, by: str = "user_id", order: list[Column] | None = None) -> DataFrame:

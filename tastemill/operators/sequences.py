@@ -14,8 +14,9 @@ SENTENCE = 1000
 
 
 def by_day(events: DataFrame) -> DataFrame:
-    """Chunks of one user: days since 1970."""
-    return events.withColumn("_chunk", F.unix_date(F.to_date("ts")))
+    """Chunks of one user: days since 1970. An event without a time is an error."""
+    day = F.unix_date(F.to_date("ts"))
+    return events.withColumn("_chunk", F.coalesce(day, F.raise_error(F.lit("an event has no time")).cast("int")))
 
 
 def _gap(seconds: int) -> Column:

@@ -36,8 +36,10 @@ def chunk_scan(
     row = F.struct(*order, *[c for c in columns if c not in order])
     inside = Window.partitionBy(*keys, chunk).orderBy(*order)
     along = Window.partitionBy(*keys).orderBy(chunk)
-    known = reduce(and_, [F.col(c).isNotNull() for c in [*keys, chunk]])  # stated here, so that both uses stay one shuffle
-    rows = df.where(known).withColumn("_scan_local", F.row_number().over(inside))
+    # A row without a place in the order is an error, not a row to lose; without a key it belongs to no sequence.
+    placed = F.coalesce(F.col(chunk), F.raise_error(F.lit(f"a row has no {chunk} to be ordered by")).cast(df.schema[chunk].dataType))
+    known = reduce(and_, [F.col(c).isNotNull() for c in keys])  # stated here, so that both uses stay one shuffle
+    rows = df.where(known).withColumn(chunk, placed).withColumn("_scan_local", F.row_number().over(inside))
     rows = rows.withColumn("_scan_next", F.lead(row).over(inside)).withColumn("_scan_prev", F.lag(row).over(inside))
     ends = rows.where(F.col("_scan_next").isNull() | F.col("_scan_prev").isNull())  # at most two rows per chunk
     edges = ends.groupBy(*keys, chunk).agg(F.max("_scan_local").alias("_scan_n"), F.min(row).alias("_scan_first"), F.max(row).alias("_scan_last"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app: str = "tastemill", cpus: int | str = "*", shuffle_partitions: int | None = None, **conf) -> SparkSession:
     """A session with adaptive execution, skew-join splitting and UTC timestamps.
 
-    On a cluster the master and the executor sizes come from spark-submit; only the local fallback is set here.
+    On a cluster the master and the executor sizes come from spark-submit; a local master is set only where nothing names one.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -25,8 +25,11 @@ def build_session(app: str = "tastemill", cpus: int | str = "*", shuffle_partiti
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    if "spark.master" not in conf and not os.environ.get("SPARK_SUBMIT_MODE"):
+    # spark-submit starts Python with the port of its gateway; without it, submit arguments may still name a master.
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    if "spark.master" not in conf and not submitted:
         builder = builder.master(f"local[{cpus}]").config("spark.driver.memory", conf.pop("driver_memory", "12g"))
+    conf.pop("driver_memory", None)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():

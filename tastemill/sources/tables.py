@@ -7,6 +7,7 @@ leaves the old one, and a table can be rewritten from itself.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,13 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.text(path).collect())
 
 
+def _numbered(key: str) -> tuple[str, int | None]:
+    """A key's text and its number; a key without a number is its own text."""
+    found = re.fullmatch(r"(.*?)(\d+)", key)
+    return (found[1], int(found[2])) if found else (key, None)
+
+
+
 class VersionedTable:
     """A named table under ``root``; ``replace`` and ``append`` make a new version, ``read`` follows the pointer."""
 
@@ -81,14 +89,17 @@ class VersionedTable:
         write_text(self.spark, f"{self.root}/{_POINTER}", json.dumps({"parts": [self._write(df)]}))
 
     def append(self, df: DataFrame, key: str | None = None) -> bool:
-        """Add rows; a ``key`` that was appended before is skipped, so a retried micro-batch is written once."""
+        """Add rows; a ``key`` that was appended before is skipped, so a retried micro-batch is written once.
+
+        Numbered keys (``batch-7``) come in rising order within a stream, so the highest number of each prefix stands for all before it."""
         pointer = self._pointer() or {"parts": []}
-        done = pointer.get("keys", [])
-        if key is not None and key in done:
+        done = pointer.get("done", {})
+        prefix, number = _numbered(key) if key is not None else (None, None)
+        if key is not None and prefix in done and (number is None or number <= done[prefix]):
             return False
         pointer["parts"] = [*pointer["parts"], self._write(df)]
         if key is not None:
-            pointer["keys"] = [*done, key][-64:]
+            pointer["done"] = {**done, prefix: number}
         write_text(self.spark, f"{self.root}/{_POINTER}", json.dumps(pointer))
         return True
 
