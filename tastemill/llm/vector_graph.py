@@ -34,6 +34,8 @@ LEAST = 2000
 BEAM = 128
 #: Links per row on the lowest level (half of it above), candidates looked at for them, and queries per block.
 LINKS, CANDIDATES, BLOCK = 32, 48, 512
+#: Rows besides the walk's end from which a beam starts.
+STARTS = 16
 
 
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
@@ -107,6 +109,8 @@ def linked(v: np.ndarray, most: int, names: np.ndarray) -> np.ndarray:
 def beam(queries: np.ndarray, vectors: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
     """Rows found for each query (-1: none), in no order."""
     q, n = len(queries), len(vectors)
+    if n <= width:
+        return np.tile(np.arange(n, dtype=np.int32), (q, 1))
     at = np.full(q, graph[-1][0][0])
     best = np.einsum("qd,qd->q", queries, vectors[at])
     for rows, links in reversed(graph[1:]):
@@ -123,9 +127,15 @@ def beam(queries: np.ndarray, vectors: np.ndarray, graph: list[tuple[np.ndarray,
             moving = moving[better]
     links, width = graph[0][1], min(width, n)
     found, score, done = np.full((q, width), -1, np.int32), np.full((q, width), -np.inf, vectors.dtype), np.ones((q, width), bool)
-    found[:, 0], score[:, 0], done[:, 0] = at, best, False
     seen = np.zeros((q, n), bool)
+    # The beam starts where the walk ended, and at rows spread over the shard in case links do not lead everywhere.
+    spread_rows = np.linspace(0, n - 1, min(STARTS, width - 1)).astype(np.int64)
+    found[:, 0], score[:, 0], done[:, 0] = at, best, False
+    found[:, 1 : 1 + len(spread_rows)], score[:, 1 : 1 + len(spread_rows)], done[:, 1 : 1 + len(spread_rows)] = spread_rows, queries @ vectors[spread_rows].T, False
+    again = spread_rows[None, :] == at[:, None]
+    found[:, 1 : 1 + len(spread_rows)][again], score[:, 1 : 1 + len(spread_rows)][again], done[:, 1 : 1 + len(spread_rows)][again] = -1, -np.inf, True
     seen[np.arange(q), at] = True
+    seen[:, spread_rows] = True
     active = np.arange(q)
     while len(active):
         open_scores = np.where(done[active], -np.inf, score[active])
@@ -188,16 +198,22 @@ def search(rows: DataFrame, is_query: Column, k: int = K, probes: int = PROBES,
 
     def graphed(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vec_id", kind="stable")
-        v = np.stack(part["v"].to_numpy())
-        drawn = (part["o"].to_numpy().astype(np.uint64) >> np.uint64(11)).astype(np.float64) / 2.0**53
+        # Equal vectors are one row of the graph, however many ids they have.
+        v, first, name = np.unique(np.stack(part["v"].to_numpy()), axis=0, return_index=True, return_inverse=True)
+        name = name.ravel()
+        order = np.argsort(name, kind="stable")
+        ids, of = part["vec_id"].to_numpy().astype(np.int64)[order], name[order]
+        once = np.ones(len(ids), bool)
+        once[1:] = (ids[1:] != ids[:-1]) | (of[1:] != of[:-1])
+        drawn = (part["o"].to_numpy()[first].astype(np.uint64) >> np.uint64(11)).astype(np.float64) / 2.0**53
         levels = np.minimum(6, np.floor(-np.log(np.maximum(drawn, 1e-12)) / math.log(LINKS // 2))).astype(np.int64)
         graph = build(v.astype(np.float32), levels)
         return pd.DataFrame({
-            "shard": [part["shard"].iloc[0]], "ids": [part["vec_id"].to_numpy().astype(np.int64).tobytes()], "vectors": [v.tobytes()],
+            "shard": [part["shard"].iloc[0]], "ids": [ids[once].tobytes()], "many": [np.bincount(of[once]).astype(np.int32).tobytes()], "vectors": [v.tobytes()],
             "sizes": [[len(r) for r, _ in graph]], "rows": [np.concatenate([r for r, _ in graph]).astype(np.int32).tobytes()], "links": [np.concatenate([x.ravel() for _, x in graph]).tobytes()]})
 
     dealt = base.withColumn("o", F.xxhash64("vec_id", F.lit(1))).withColumn("shard", F.struct("cell", F.pmod(F.xxhash64("vec_id"), split_of).alias("part"))).withColumn("shard", F.col("shard.cell").cast("bigint") * (1 << 32) + F.col("shard.part"))
-    index = checkpointed(dealt.groupBy("shard").applyInPandas(graphed, "shard bigint, ids binary, vectors binary, sizes array<int>, rows binary, links binary"))
+    index = checkpointed(dealt.groupBy("shard").applyInPandas(graphed, "shard bigint, ids binary, many binary, vectors binary, sizes array<int>, rows binary, links binary"))
 
     def routed(batches):
         for batch in batches:
@@ -221,7 +237,7 @@ def search(rows: DataFrame, is_query: Column, k: int = K, probes: int = PROBES,
     def walked(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                one = {c: batch.column(c)[i].as_py() for c in ("ids", "vectors", "sizes", "rows", "links", "queries")}
+                one = {c: batch.column(c)[i].as_py() for c in ("ids", "many", "vectors", "sizes", "rows", "links", "queries")}
                 ids, v = np.frombuffer(one["ids"], np.int64), np.frombuffer(one["vectors"], np.float64).reshape(-1, size)
                 graph, rows_at, links_at = [], 0, 0
                 flat_rows, flat_links = np.frombuffer(one["rows"], np.int32), np.frombuffer(one["links"], np.int32)
@@ -234,15 +250,20 @@ def search(rows: DataFrame, is_query: Column, k: int = K, probes: int = PROBES,
                 found = beam(asked_v.astype(np.float32), v.astype(np.float32), graph, width)
                 query, _ = np.nonzero(found >= 0)
                 row = found[found >= 0]
-                other = ids[row] != names[query]
-                query, row = query[other], row[other]
                 score = (asked_v[query] * v[row]).sum(1)
-                order = np.lexsort((ids[row], -score, query))
-                query, row, score = query[order], row[order], score[order]
+                # The smallest ids of each vector: one more than asked for, as one may be the query's own.
+                many = np.frombuffer(one["many"], np.int32)
+                first, take = np.cumsum(many) - many, np.minimum(many, k + 1)[row]
+                seat = np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+                query, score, found_id = np.repeat(query, take), np.repeat(score, take), ids[np.repeat(first[row], take) + seat]
+                other = found_id != names[query]
+                query, score, found_id = query[other], score[other], found_id[other]
+                order = np.lexsort((found_id, -score, query))
+                query, score, found_id = query[order], score[order], found_id[order]
                 keep = np.arange(len(query)) - np.searchsorted(query, query) < 2 * k
-                yield pa.RecordBatch.from_arrays([pa.array(names[query[keep]]), pa.array(ids[row[keep]]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[query[keep]]), pa.array(found_id[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
 
-    joined = grouped.join(index.withColumnRenamed("shard", "s"), F.col("shard") == F.col("s")).select("ids", "vectors", "sizes", "rows", "links", "queries")
+    joined = grouped.join(index.withColumnRenamed("shard", "s"), F.col("shard") == F.col("s")).select("ids", "many", "vectors", "sizes", "rows", "links", "queries")
     hits = joined.mapInArrow(walked, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
