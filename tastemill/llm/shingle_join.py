@@ -38,7 +38,7 @@ WIDTH = 5
 CELLS, PART = 1 << 20, 1 << 14
 SLICE = 2 << 20
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
 #: All pairs are tried at once when buckets hold at most so many for each of their rows.
 PAIRS_PER_ROW = 8
 #: Odd factors of a shingle's words.
@@ -128,12 +128,14 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def frequency_ranks(described: DataFrame) -> np.ndarray:
-    """For each cell of the two tables how many times its count doubles the mean: 0 for shingles that are not frequent. The tables have a fixed size."""
+    """For each cell of the two tables a class of how far its count exceeds the mean: 0 up to twice the deviation that chance gives, then two classes for each
+    doubling. The tables have a fixed size."""
     mean = max((described.agg(F.sum("n")).first()[0] or 0) / CELLS, 1)
 
     def summed(part: pd.DataFrame) -> pd.DataFrame:
         counts = sum(np.frombuffer(x, np.uint32).astype(np.float64) for x in part["seen"])
-        ranks = np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 63).astype(np.int8)
+        excess = np.maximum((counts - mean) / (2 * mean**0.5), 0.5)
+        ranks = np.clip(1 + np.floor(2 * np.log2(excess)), 0, 63).astype(np.int8)
         return pd.DataFrame({"part": [part["part"].iloc[0]], "ranks": [ranks.tobytes()]})
 
     ranks = np.zeros((2 * CELLS // PART, PART), np.int8)
@@ -200,6 +202,14 @@ def enough(k: str, n: str, m: str):
     return F.col(k) + F.greatest(rest(n), rest(m)) >= F.expr(f"(4 * ({n} + {m}) + 8) div 9")
 
 
+def hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after each root went over to the smallest root it has a link with. Equal roots mean one component; the reverse is settled at the end."""
+    end = lambda side: labels.select(F.col("node").alias(f"of_{side}"), F.col("root").alias(f"root_{side}"))
+    met = links.join(end("a"), F.col("a") == F.col("of_a")).join(end("b"), F.col("b") == F.col("of_b")).where("root_a <> root_b")
+    moved = met.groupBy(F.greatest("root_a", "root_b").alias("old")).agg(F.min(F.least("root_a", "root_b")).alias("new"))
+    return checkpointed(labels.join(moved, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")))
+
+
 def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     """(node, root) of the classes that have links to others."""
     spark = docs.sparkSession
@@ -241,8 +251,7 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
         links = checkpointed(links.unionByName(similar(joined, ranks)))
         if last:
             break
-        found = components(links)
-        labels = checkpointed(rows.select("node").distinct().join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root")))
+        labels = hooked(rows.select("node").distinct().withColumn("root", F.col("node")) if labels is None else labels, links)
         rows = current.select("token", "node", "n")
     return components(links)
 
