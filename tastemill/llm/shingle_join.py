@@ -38,7 +38,7 @@ WIDTH = 5
 CELLS, PART = 1 << 20, 1 << 14
 SLICE = 2 << 20
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
-STAR_ROUNDS = 3
+STAR_ROUNDS = 8
 #: All pairs are tried at once when buckets hold at most so many for each of their rows.
 PAIRS_PER_ROW = 8
 #: Odd factors of a shingle's words.
@@ -225,7 +225,7 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     texts = body.join(chosen, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h"))).select("node", "text")
     texts = checkpointed(texts)
 
-    labels = None
+    labels = before = None
     links = spark.createDataFrame([], "a bigint, b bigint")
     for step in range(STAR_ROUNDS + 1):
         current = rows.withColumn("root", F.col("node")) if labels is None else rows.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
@@ -236,7 +236,9 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
         size, pairs = current.agg(F.count(F.lit(1)), F.sum("share")).first()
         if not size:
             break
-        last = step == STAR_ROUNDS or pairs <= PAIRS_PER_ROW * size
+        # Further rounds pay while there are many pairs and the round before has settled a fifth of its own.
+        last = step == STAR_ROUNDS or pairs <= PAIRS_PER_ROW * size or (before is not None and pairs > 0.8 * before)
+        before = pairs
         if last:
             x, y = (current.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "ab")
             met = x.join(y, (x.token == y.token) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b")) & close_in_size("n_a", "n_b"))
