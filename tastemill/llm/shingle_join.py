@@ -218,6 +218,10 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     # The largest set is asked for so that both readers of the exchange want the same columns, and it is made once.
     shared = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.max("n").alias("largest")).where("many > 1 AND largest > 0").select(F.col("token").alias("t"))
     rows = checkpointed(dealt.join(shared, F.col("token") == F.col("t"), "left_semi"))
+    # How few of a prefix's shingles stand in no other set: near copies differ from what they were made of by shingles of their own, so sets
+    # without such make the best partners for the others.
+    common = rows.groupBy(F.col("node").alias("of")).agg((F.count(F.lit(1)) * 1000 / (F.first("n") / 5 + 1)).cast("int").alias("common"))
+    rows = checkpointed(rows.join(common, F.col("node") == F.col("of")).drop("of"))
 
     # One text of each class that meets another one.
     chosen = described.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("r")).join(rows.select("node").distinct(), "node").select("node", F.col("r.doc_id").alias("of_id"), F.col("r.h").alias("of_h"))
@@ -229,11 +233,12 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     links = spark.createDataFrame([], "a bigint, b bigint")
     for step in range(STAR_ROUNDS + 1):
         current = rows.withColumn("root", F.col("node")) if labels is None else rows.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
-        hub = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("o"), "node", "n", "root")).alias("hub")
+        order = [(-F.col("common")).alias("c")] if step % 2 == 0 else []
+        hub = F.min(F.struct(*order, F.xxhash64("node", F.lit(step)).alias("o"), "node", "n", "root")).alias("hub")
         groups = current.groupBy(F.col("token").alias("t"), "root").agg(F.count(F.lit(1)).alias("c"), hub)
         buckets = groups.groupBy("t").agg(F.count(F.lit(1)).alias("roots"), F.min("hub").alias("hub"), F.sum("c").alias("many"), F.expr("(sum(c) * sum(c) - sum(c * c)) / 2").alias("pairs")).where("roots > 1")
-        current = checkpointed(current.join(buckets.select("t", "hub", F.expr("pairs / many").alias("share")), F.col("token") == F.col("t")).drop("t"))
-        size, pairs = current.agg(F.count(F.lit(1)), F.sum("share")).first()
+        current = checkpointed(current.join(buckets.select("t", "hub", F.expr("pairs / many").alias("load")), F.col("token") == F.col("t")).drop("t"))
+        size, pairs = current.agg(F.count(F.lit(1)), F.sum("load")).first()
         if not size:
             break
         # Further rounds pay while there are many pairs and the round before has settled a fifth of its own.
@@ -254,7 +259,7 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
         if last:
             break
         labels = hooked(rows.select("node").distinct().withColumn("root", F.col("node")) if labels is None else labels, links)
-        rows = current.select("token", "node", "n")
+        rows = current.select("token", "node", "n", "common")
     return components(links)
 
 
