@@ -4,8 +4,11 @@
    cell, and a cell of more rows than a shard is dealt into several by a hash, so no shard grows with the data.
 2. Graphs: a row's top level is drawn from its id hash. On each level a row links to the nearest of that level that are nearer to it than to a link already taken, and links go both
    ways. Candidates come from block products inside the shard. Ids, vectors and links are flat arrays in one stored row per shard.
-3. Search: a query goes to the ``PROBES`` nearest cells (more, if these hold under ``LEAST`` rows), and blocks of queries meet the graphs of their shards. Each graph is walked
-   down greedily and searched with a beam of ``BEAM`` on the lowest level; the scores of what it returns are worked out in double precision, and the shards' results are merged.
+3. Search: queries are dealt in blocks of one cell. A block first meets the shards of the ``PROBES`` cells whose centroids have the largest inner products with it, which gives each
+   query a k-th score. Then it meets every other shard, apart from the queries for which no row of the shard's cell can reach that score: the inner product with a row is at
+   most ``query . centroid + |query| * radius`` and at most ``|query| * longest row`` of the cell. So the result is that of every shard, whatever their number, and does not depend on
+   ``PROBES``. Each graph is walked down greedily and searched with a beam of ``BEAM`` on the lowest level; the scores of what it returns are worked out in double precision, and
+   the shards' results are merged.
 
 Recall against brute force is measured in the tests (at least 0.9).
 
@@ -30,7 +33,6 @@ SHARD = 16_384
 SAMPLE = 32_768
 MOST_CELLS = 4096
 PROBES = 6
-LEAST = 2000
 BEAM = 128
 #: Links per row on the lowest level (half of it above), candidates looked at for them, and queries per block.
 LINKS, CANDIDATES, BLOCK = 32, 48, 512
@@ -186,13 +188,15 @@ def search(rows: DataFrame, is_query: Column, k: int = K, probes: int = PROBES,
 
     def placed(batches):
         for batch in batches:
-            cell = nearest_cell(matrix(batch.column("v")), centers)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32))], ["vec_id", "v", "cell"])
-
-    base = checkpointed(marked.mapInArrow(placed, "vec_id bigint, v array<double>, cell int"))
-    counts = np.zeros(cells, np.int64)
-    for cell, n in base.groupBy("cell").count().collect():  # one row per cell, MOST_CELLS at most
-        counts[cell] = n
+            v = matrix(batch.column("v"))
+            cell = nearest_cell(v, centers)
+            away, long = (np.linalg.norm(x, axis=1) for x in (v - centers[cell] if len(v) else v, v))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(away), pa.array(long)], ["vec_id", "v", "cell", "away", "long"])
+
+    base = checkpointed(marked.mapInArrow(placed, "vec_id bigint, v array<double>, cell int, away double, long double"))
+    counts, radius, longest = np.zeros(cells, np.int64), np.zeros(cells), np.zeros(cells)
+    for cell, n, away, long in base.groupBy("cell").agg(F.count(F.lit(1)), F.max("away"), F.max("long")).collect():  # one row per cell, MOST_CELLS at most
+        counts[cell], radius[cell], longest[cell] = n, away, long
     splits = np.maximum(1, -(-counts // shard))
     split_of = F.element_at(F.array(*map(F.lit, splits.tolist())), F.col("cell") + 1)
 
@@ -215,24 +219,38 @@ def search(rows: DataFrame, is_query: Column, k: int = K, probes: int = PROBES,
     dealt = base.withColumn("o", F.xxhash64("vec_id", F.lit(1))).withColumn("shard", F.struct("cell", F.pmod(F.xxhash64("vec_id"), split_of).alias("part"))).withColumn("shard", F.col("shard.cell").cast("bigint") * (1 << 32) + F.col("shard.part"))
     index = checkpointed(dealt.groupBy("shard").applyInPandas(graphed, "shard bigint, ids binary, many binary, vectors binary, sizes array<int>, rows binary, links binary"))
 
+    filled, reach = np.flatnonzero(counts), np.linalg.norm(centers, axis=1)
+
+    def first_cells(q: np.ndarray) -> np.ndarray:
+        return filled[np.argsort(-(q @ centers[filled].T).mean(0), kind="stable")[:probes]]
+
     def routed(batches):
+        """Without floors a block goes to its first cells, with them to the others that may hold something for a query."""
         for batch in batches:
-            away = distances(matrix(batch.column("v")), centers)
-            order = np.argsort(away, axis=1, kind="stable")
-            before = np.cumsum(counts[order], axis=1) - counts[order]
-            go = ((np.arange(cells)[None, :] < probes) | (before < LEAST)) & (counts[order] > 0)
-            query, cell = np.nonzero(go)[0], order[go]
-            many = splits[cell]
-            query, cell = np.repeat(query, many), np.repeat(cell, many)
-            part = np.arange(len(query)) - np.repeat(np.cumsum(many) - many, many)
-            taken = batch.take(pa.array(query))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64) * (1 << 32) + part), taken.column("vec_id"), taken.column("v")], ["shard", "query_id", "v"])
+            for block in batch.to_pylist():
+                q, names = np.array([x["v"] for x in block["queries"]], np.float64), [x["query_id"] for x in block["queries"]]
+                first = first_cells(q)
+                if "floors" in block:
+                    known = {x["query_id"]: x["floor"] for x in block["floors"] or []}
+                    floor, norm = np.array([known.get(n, -np.inf) for n in names]), np.linalg.norm(q, axis=1)
+                    others = np.setdiff1d(filled, first)
+                    # Slack for rounding: bounds and scores are sums of products of at most these lengths.
+                    slack = 1e-9 * norm[:, None] * (reach + radius + longest)[others][None, :]
+                    bound = np.minimum(q @ centers[others].T + norm[:, None] * radius[others][None, :], norm[:, None] * longest[others][None, :]) + slack
+                    going = {int(c): np.flatnonzero(bound[:, i] >= floor) for i, c in enumerate(others)}
+                else:
+                    going = {int(c): np.arange(len(q)) for c in first}
+                for cell, chosen in going.items():
+                    if len(chosen):
+                        sent = pa.array([[block["queries"][i] for i in chosen]], pa.list_(pa.struct([("query_id", pa.int64()), ("v", pa.list_(pa.float64()))])))
+                        for part in range(int(splits[cell])):
+                            yield pa.RecordBatch.from_arrays([pa.array([cell * (1 << 32) + part], pa.int64()), sent], ["shard", "queries"])
 
     asked = base.join(rows.where(is_query).select(F.col("vec_id").alias("of")).distinct(), F.col("vec_id") == F.col("of"), "left_semi").dropDuplicates(["vec_id"])
-    sent = asked.select("vec_id", "v").mapInArrow(routed, "shard bigint, query_id bigint, v array<double>")
-    load = checkpointed(sent)
-    blocks = load.groupBy("shard").agg(F.count(F.lit(1)).alias("many")).withColumnRenamed("shard", "s")
-    grouped = load.join(blocks, F.col("shard") == F.col("s")).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(2)), F.ceil(F.col("many") / BLOCK))).groupBy("shard", "block").agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
+    asked = checkpointed(asked.select(F.col("vec_id").alias("query_id"), "v", "cell"))
+    many = asked.groupBy(F.col("cell").alias("c")).agg(F.count(F.lit(1)).alias("many"))
+    dealt_queries = asked.join(many, F.col("cell") == F.col("c")).withColumn("block", F.struct("cell", F.pmod(F.xxhash64("query_id", F.lit(2)), F.ceil(F.col("many") / BLOCK)).alias("part"))).select("query_id", "v", "block")
+    blocks = checkpointed(dealt_queries.groupBy("block").agg(F.collect_list(F.struct("query_id", "v")).alias("queries")))
 
     def walked(batches):
         for batch in batches:
@@ -263,7 +281,20 @@ def search(rows: DataFrame, is_query: Column, k: int = K, probes: int = PROBES,
                 keep = np.arange(len(query)) - np.searchsorted(query, query) < 2 * k
                 yield pa.RecordBatch.from_arrays([pa.array(names[query[keep]]), pa.array(found_id[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
 
-    joined = grouped.join(index.withColumnRenamed("shard", "s"), F.col("shard") == F.col("s")).select("ids", "many", "vectors", "sizes", "rows", "links", "queries")
-    hits = joined.mapInArrow(walked, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def found_in(sent: DataFrame) -> DataFrame:
+        joined = sent.join(index.withColumnRenamed("shard", "s"), F.col("shard") == F.col("s")).select("ids", "many", "vectors", "sizes", "rows", "links", "queries")
+        return joined.mapInArrow(walked, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def best(hits: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    sent_type = "shard bigint, queries array<struct<query_id: bigint, v: array<double>>>"
+    first = checkpointed(best(found_in(blocks.mapInArrow(routed, sent_type))))
+    if len(filled) <= probes:
+        return first
+    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").alias("floor"))
+    floors = dealt_queries.join(floors, F.col("query_id") == F.col("q")).groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("query_id", "floor")).alias("floors"))
+    rest = blocks.join(floors, F.col("block") == F.col("b"), "left").select("queries", "floors").mapInArrow(routed, sent_type)
+    merged = first.select("query_id", "vec_id", "score").unionByName(found_in(rest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best(merged)

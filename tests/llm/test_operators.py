@@ -401,6 +401,23 @@ def test_graph_search_recall(spark):
     assert hits / (20 * 150) >= 0.9
 
 
+def test_graph_search_recall_with_unequal_norms_and_more_cells_than_probes(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(4000, 16)) * np.exp(rng.normal(size=(4000, 1)))
+    rows_ = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    found = []
+    for probes in (2, 40):
+        got = vector_graph.search(rows_, F.col("vec_id") % 20 == 0, shard=100, probes=probes).toPandas()
+        hits = 0
+        for q, part in got.groupby("query_id"):
+            scores = v @ v[q]
+            scores[q] = -np.inf
+            hits += len(set(np.argsort(-scores)[:20]) & set(part.vec_id))
+        assert hits / (20 * 200) >= 0.95
+        found.append(sorted(zip(got.query_id, got["rank"], got.vec_id, strict=True)))
+    assert found[0] == found[1]
+
+
 def test_graph_search_odd_rows(spark):
     vectors = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (40, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [1.0]), (8, [-1.0, 0.0])]
     got = vector_graph.search(spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0)
