@@ -369,6 +369,20 @@ def test_passages_are_found_and_clean_documents_left_alone(spark, odd, none):
     assert chaining.report(odd).count() == len(odd_rows()) and chaining.report(none).count() == 0
 
 
+@pytest.mark.parametrize("gap", [5, 20, 27, 30, 45])
+def test_exact_passages_on_both_sides_of_foreign_words(spark, gap):
+    rng = random.Random(gap)
+    words = lambda n: [f"u{rng.randint(0, 10**9)}" for _ in range(n)]
+    docs = []
+    for k in range(20):
+        one, two = words(50), words(50)
+        mid = words(gap) if k % 2 else []
+        docs += [(2 * k, words(30) + one + mid + two + words(30)), (2 * k + 1, words(20) + one + words(gap) + two + words(20))]
+    got = {r.doc_id: r for r in chaining.report(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")).collect()}
+    for k in range(20):
+        assert got[2 * k].n_covered == 0 and got[2 * k + 1].n_covered in (100, 100 + gap)
+
+
 def test_chains_match_quadratic_search():
     random.seed(1)
     for _ in range(200):
