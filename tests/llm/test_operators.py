@@ -383,6 +383,36 @@ def test_exact_passages_on_both_sides_of_foreign_words(spark, gap):
         assert got[2 * k].n_covered == 0 and got[2 * k + 1].n_covered in (100, 100 + gap)
 
 
+def holds_passage(a, b):
+    """Whether a part of ``a`` with 50 words or more is a part of ``b`` with a fifth of edits at most, by plain alignment from every place."""
+    for start in range(len(a) - 49):
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a[start:], 1):
+            corner, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
+            if i >= 50 and 5 * min(row) <= i and x in b and a[start] in b:
+                return True
+    return False
+
+
+def test_random_edits_up_to_a_fifth_match_brute_force(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"u{rng.randint(0, 10**9)}" for _ in range(n)]
+    docs, want = [], {}
+    for k in range(40):
+        passage = words(50)
+        edited = list(passage)
+        for _ in range(rng.randint(7, 11)):
+            i, kind = rng.randrange(1, len(edited) - 1), rng.random()
+            edited[i : i + (kind < 0.8)] = words(1) if kind < 0.9 else []
+        a, b = words(10) + edited + words(10), words(10) + passage + words(10)
+        docs += [(2 * k, b), (2 * k + 1, a)]
+        want[2 * k + 1] = holds_passage(a, b)
+    got = {r.doc_id: r for r in chaining.report(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")).collect()}
+    assert {i: got[i].n_spans > 0 for i in want} == want and sum(want.values()) >= 10
+
+
 def test_chains_match_quadratic_search():
     random.seed(1)
     for _ in range(200):
