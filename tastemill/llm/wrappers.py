@@ -141,17 +141,50 @@ def balanced(group: list) -> bool:
     return depth == 0
 
 
+def nodes(items: list) -> list[list]:
+    """The items in whole elements, from an opening token to its closing one, and single items."""
+    out, depth = [], 0
+    for x in items:
+        if depth:
+            out[-1].append(x)
+        else:
+            out.append([x])
+        depth += 1 if isinstance(x, str) and x[0] == "<" else -1 if isinstance(x, str) and x[0] == "/" else 0
+    return out
+
+
+def bare(node: list) -> tuple[set[str], list]:
+    """Whether a node is optional or repeated, and its items without that."""
+    marks = set()
+    while len(node) == 1 and isinstance(node[0], list):
+        marks.add(node[0][0])
+        node = node[0][1]
+    return marks, node
+
+
+def is_element(items: list) -> bool:
+    return isinstance(items[0], str) and items[0][0] == "<" and len(nodes(items)) == 1
+
+
+def marked(items: list, marks: set[str]) -> list:
+    for mark in "+?":
+        if mark in marks:
+            items = [[mark, items]]
+    return items
+
+
 def aligned(wrapper: list, other: list) -> list:
-    """The least general of wrapper and other by alignment: common items, and what one side alone has as optional groups."""
-    left, right = [core(x) for x in wrapper], [core(x) for x in other]
-    if left == right:
-        return [x if isinstance(x, list) else y for x, y in zip(wrapper, other, strict=True)]
+    """The least general of wrapper and other by alignment of whole elements: those of one name are aligned inside, and what one side alone has becomes optional groups."""
+    left, right = [bare(x) for x in nodes(wrapper)], [bare(x) for x in nodes(other)]
+    names = [[x[0] if is_element(x) else json.dumps(x) for _, x in side] for side in (left, right)]
     out: list = []
-    for kind, a, b, c, d in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
+    for kind, a, b, c, d in SequenceMatcher(None, *names, autojunk=False).get_opcodes():
         if kind == "equal":
-            out += [x if isinstance(x, list) else y for x, y in zip(wrapper[a:b], other[c:d], strict=True)]
+            for (some, x), (more, y) in zip(left[a:b], right[c:d], strict=True):
+                out += marked(x if x == y else [x[0], *aligned(x[1:-1], y[1:-1]), x[-1]], some | more)
         else:
-            out += [x if isinstance(x, list) and x[0] == "?" else ["?", [x]] for x in wrapper[a:b] + other[c:d]]
+            for marks, x in left[a:b] + right[c:d]:
+                out += marked(x, marks | {"?"})
     return folded(out)
 
 

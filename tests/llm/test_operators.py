@@ -354,6 +354,30 @@ def test_alignment_makes_optional_and_repeated_groups():
     assert wrappers.leaves(both) == {"a/h", "a/p", "d/x"}
 
 
+def test_every_path_of_every_stream_is_among_the_leaves(spark):
+    both = wrappers.aligned(["<ul", "#li", "/ul"], ["<ol", "#li", "/ol"])
+    assert wrappers.leaves(both) == {"ul/li", "ol/li"}
+    rng = random.Random(4)
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            name = rng.choice("abcd")
+            out += [f"<{name}", *tree(depth - 1), f"/{name}"] if depth and rng.random() < 0.6 else [f"#{name}"]
+        return out
+
+    for _ in range(100):
+        streams = [wrappers.folded(tree(3)) for _ in range(6)]
+        wrapper = streams[0]
+        for x in streams[1:]:
+            wrapper = wrappers.aligned(wrapper, x)
+        assert wrappers.leaves(wrapper) == set().union(*map(wrappers.leaves, streams))
+    pages = [(1, "http://h/1", page("<article><div><h1>A</h1><p>one</p></div></article>")), (2, "http://h/2", page("<article><h1>B</h1><p>two</p></article>")),
+             (3, "http://h/3", page("<article><ul><li>c</ul></article>")), (4, "http://h/4", page("<article><ol><li>d</ol></article>"))]
+    got = wrappers.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == {1: "A\n\none", 2: "B\n\ntwo", 3: "c", 4: "d"}
+
+
 # ---------------------------------------------------------------------------------------------------------- passages
 
 
