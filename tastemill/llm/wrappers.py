@@ -5,8 +5,8 @@ that all pages of a host match. It starts as one page's stream, in which groups
 stream is aligned with it by a longest common subsequence; what only one side has becomes an optional group, and repeats are folded again. Equal streams of a host count
 once, streams are aligned in parts first, and the parts' wrappers with each other, so a host may hold any share of the pages.
 
-The wrapper tells which slots of the host are main text: those inside an article (else a main element, else anywhere) and not inside an element that is furniture by its
-tag, or by a word of its class, id or role. The text of these slots is returned, whatever it says.
+The wrapper tells which slots of the host are not inside an element that is furniture by its tag, or by a word of its class, id or role. Of these a page's main text are those inside an
+article (else a main element, else anywhere), as far as the page itself has such an element. The text of these slots is returned, whatever it says.
 
 Defined cases: a null html is the empty page, with empty text; a null url, or one without a host, belongs to the host ''; repeated rows and null ids stay; a page cut off in a tag ends before
 it; an element left open ends with its parent; pages of any length are read whole; an empty table gives an empty result; further columns are ignored.
@@ -205,13 +205,18 @@ def leaves(wrapper: list, above: tuple[str, ...] = ()) -> set[str]:
     return found
 
 
-def main_paths(wrapper: list) -> set[str]:
-    """The slots of main text."""
-    good = {p for p in leaves(wrapper) if "!" not in p}
+def good_paths(wrapper: list) -> set[str]:
+    """The slots outside furniture."""
+    return {p for p in leaves(wrapper) if "!" not in p}
+
+
+def main_paths(good: set[str], page: set[str]) -> set[str]:
+    """The slots of main text among those that a page has: a host may hold pages of several templates."""
+    here = good & page
     for tag in ("article", "main"):
-        if inside := {p for p in good if tag in p.split("/")}:
+        if inside := {p for p in here if tag in p.split("/")}:
             return inside
-    return good
+    return here
 
 
 def infer(pages: DataFrame) -> DataFrame:
@@ -248,8 +253,9 @@ def extract(pages: DataFrame) -> DataFrame:
                 if wrapper not in known:
                     if len(known) >= 1000:
                         known.clear()
-                    known[wrapper] = main_paths(json.loads(wrapper))
-                found, wanted = slots(page or ""), known[wrapper]
+                    known[wrapper] = good_paths(json.loads(wrapper))
+                found = slots(page or "")
+                wanted = main_paths(known[wrapper], {p for p, _ in found})
                 chosen = [t for p, t in found if p in wanted]
                 out.append("\n\n".join(chosen))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])

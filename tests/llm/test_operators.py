@@ -378,6 +378,12 @@ def test_every_path_of_every_stream_is_among_the_leaves(spark):
     assert {r.page_id: r.text for r in got.collect()} == {1: "A\n\none", 2: "B\n\ntwo", 3: "c", 4: "d"}
 
 
+def test_main_text_of_a_host_with_two_templates(spark):
+    pages = [(1, "http://h/1", page("<article><p>one</p></article><p>out</p>")), (2, "http://h/2", page("<div><p>two</p></div>")), (3, "http://h/3", page("<main><p>three</p></main><p>out</p>"))]
+    got = wrappers.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == {1: "one", 2: "two", 3: "three"}
+
+
 # ---------------------------------------------------------------------------------------------------------- passages
 
 
