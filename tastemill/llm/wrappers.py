@@ -3,7 +3,7 @@
 A page is read as a stream of block tokens: opening and closing containers, and slots of text. A wrapper is a regular expression without unions over such tokens
 that all pages of a host match. It starts as one page's stream, in which groups that repeat next to each other are folded into ``+`` groups. Every further
 stream is aligned with it by a longest common subsequence; what only one side has becomes an optional group, and repeats are folded again. Equal streams of a host count
-once, streams are aligned in parts first, and the parts' wrappers with each other, so a host may hold any share of the pages.
+once, streams are aligned in parts of about ``PART``, and the parts' wrappers again in parts until one is left, so no task aligns many and a host may hold any share of the pages.
 
 The wrapper tells which slots of the host are not inside an element that is furniture by its tag, or by a word of its class, id or role. Of these a page's main text are those inside an
 article (else a main element, else anywhere), as far as the page itself has such an element. The text of these slots is returned, whatever it says.
@@ -21,7 +21,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tastemill.plans.skew import spread
 from tastemill.session import checkpointed
@@ -37,7 +37,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 FURNITURE_TAGS = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head"}
 FURNITURE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|login|masthead|menu|modal|nav\w*|newsletter|notice|popup|promo\w*|related|replies|reply|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
-#: Streams aligned in one part at first, and the longest group that is folded.
+#: Streams or wrappers aligned in one part, and the longest group that is folded.
 PART, LONGEST_GROUP = 64, 24
 
 
@@ -233,10 +233,16 @@ def infer(pages: DataFrame) -> DataFrame:
             wrapper = json.loads(shape) if wrapper is None else aligned(wrapper, json.loads(shape))
         return pd.DataFrame({"host": [part["host"].iloc[0]], "shape": [json.dumps(wrapper)]})
 
-    shapes = pages.mapInArrow(streams, "host string, shape string").distinct()
-    parts = checkpointed(shapes.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("host"))).withColumn("part", F.pmod(F.xxhash64("shape"), F.greatest(F.lit(1), F.expr(f"of div {PART}")))))
-    level = parts.groupBy("host", "part").applyInPandas(fold, "host string, shape string").distinct()
-    return checkpointed(level.groupBy("host").applyInPandas(fold, "host string, shape string").withColumnRenamed("shape", "wrapper"))
+    level = checkpointed(pages.mapInArrow(streams, "host string, shape string").distinct())
+    while True:
+        # Hosts of more than one part are dealt anew by their shapes, about PART to a group, until each has one.
+        counts = level.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        counts = checkpointed(counts)
+        if counts.isEmpty():
+            return level.withColumnRenamed("shape", "wrapper")
+        dealt = level.join(counts, F.col("host") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("shape"), F.expr(f"(parts + {PART - 1}) div {PART}")))
+        done = level.join(counts, F.col("host") == F.col("of"), "left_anti")
+        level = checkpointed(done.unionByName(dealt.groupBy("host", "part").applyInPandas(fold, "host string, shape string").distinct()))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The corpus operators against plain counterparts, and on the odd cases each of them defines."""
 
+import json
 import hashlib
 import random
 from collections import Counter
@@ -384,6 +385,27 @@ def test_main_text_of_a_host_with_two_templates(spark):
     assert {r.page_id: r.text for r in got.collect()} == {1: "one", 2: "two", 3: "three"}
 
 
+def test_no_task_aligns_all_streams_of_a_host(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "PART", 4)
+    pages = [("h", page("<article>" + "".join(f"<{t}><p>x</p></{t}>" for t in [("div", "section", "ul", "ol")[k >> 2 * i & 3] for i in range(4)]) + "</article>")) for k in range(200)]
+    frame = spark.createDataFrame(pages, "host string, html string")
+    sizes = []
+    deal = wrappers.checkpointed
+
+    def seen(df):
+        out = deal(df)
+        if out.columns == ["host", "shape"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(wrappers, "checkpointed", seen)
+    found = wrappers.infer(frame).collect()
+    assert len(found) == 1 and sizes[-1] == 1 and len(sizes) > 3
+    assert all(a <= 8 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    streams = [wrappers.stream(wrappers.slots(x)) for _, x in pages]
+    assert wrappers.leaves(json.loads(found[0].wrapper)) == set().union(*map(wrappers.leaves, streams))
+
+
 # ---------------------------------------------------------------------------------------------------------- passages
 
 
