@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tastemill.llm import bpe, chaining, packing, quality, repeats, secrets, shingle_join, token_counts, vector_graph, wrappers
+from tastemill.llm import bpe, chaining, packing, quality, repeats, secrets, shingle_join, simhash, token_alignment, token_counts, vector_graph, whitening, wrappers
 from tastemill.llm.common import table
 from tastemill.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -142,3 +143,21 @@ def op9_hnsw_search(spark: SparkSession, root: str) -> DataFrame:
 def op7_substring_chaining(spark: SparkSession, root: str) -> DataFrame:
     """Passages of 50 words or more that a document shares, exactly or nearly, with one of smaller id."""
     return chaining.report(table(spark, root, "documents"))
+
+
+@query()
+def op11_embedding_whitening(spark: SparkSession, root: str) -> DataFrame:
+    """Every vector on the first eight whitened axes of all of them, and its exact deviation from their mean."""
+    return whitening.whiten(table(spark, root, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@query()
+def op12_simhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprint of every document, and its component under links of at most three differing bits."""
+    return simhash.classify(table(spark, root, "documents"))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, root: str) -> DataFrame:
+    """How the tokens of two tokenizers meet in every document, and how common the linked ids are."""
+    return token_alignment.align(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
