@@ -8,7 +8,7 @@ from tastemill.catalog import bindings as b
 from tastemill.catalog.registry import query
 from tastemill.catalog.sequences import GAP
 from tastemill.functions.scalars import rounded
-from tastemill.models import training
+from tastemill.models import skipgram, training
 from tastemill.models.als import ALSModel
 from tastemill.models.base import load_model
 from tastemill.models.ease import EASEModel, ease_weights
@@ -112,15 +112,40 @@ def ease_recommend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _item2vec(spark: SparkSession, d: str) -> Item2VecModel:
-    events = b.clicks(spark, d)
-    sentences = sequences.session_sentences(sequences.sessionize(events, GAP))
-    return Item2VecModel(vector_size=16, window=5, epochs=2).fit(b.click_interactions(spark, d), sentences=sentences.select("sentence"))
+    """With the documented settings: 128 dimensions, window 5, 5 epochs."""
+    sessions = sequences.sessionize(b.clicks(spark, d), GAP)
+    return Item2VecModel().fit(b.click_interactions(spark, d), sessions=sessions)
 
 
-@query("item2vec_vectors")
+@query("item2vec_pairs", f"""WITH {b.SQL_CLICKS}, m AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL {GAP} SECOND, true) AS first FROM clicks WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(first::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM m),
+p AS (SELECT user_id, session_no, item_id, row_number() OVER (PARTITION BY user_id, session_no ORDER BY ts, event_id) AS pos FROM s)
+SELECT x.item_id AS centre, y.item_id AS context, round(sum(6 - abs(x.pos - y.pos)) / 5.0, 6) + 0.0 AS n
+FROM p x JOIN p y ON x.user_id = y.user_id AND x.session_no = y.session_no AND x.pos <> y.pos AND abs(x.pos - y.pos) <= 5 WHERE x.item_id IS NOT NULL AND y.item_id IS NOT NULL GROUP BY ALL""")
+def item2vec_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """What the skip-gram model trains on: centre and context items of all click sessions, weighted by distance."""
+    sessions = sequences.sessionize(b.clicks(spark, d), GAP)
+    places = sessions.select(F.struct("user_id", "session_no").alias("session"), "pos", F.col("item_id").alias("item"))
+    return skipgram.window_pairs(places, 5).withColumn("n", rounded(F.col("n")))
+
+
+@query("item2vec_vectors", f"""WITH {b.SQL_CLICKS}, v AS (SELECT DISTINCT item_id FROM clicks WHERE item_id IS NOT NULL) SELECT item_id, 128::BIGINT AS dimensions, true AS moved FROM v""")
 def item2vec_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every clicked item has one vector of finite numbers, longer than the starting ones, whose entries are below 1/256 in size."""
     rows = _item2vec(spark, d).item_vectors()
-    return rows.select("item_id", F.posexplode("vector").alias("pos", "x")).select("item_id", "pos", rounded(F.col("x")).alias("value"))
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.select("item_id", F.size("vector").cast("bigint").alias("dimensions"), (finite & (square > 128 / 256.0**2)).alias("moved"))
+
+
+@query("item2vec_training", """SELECT 5::BIGINT AS epochs, true AS falls, true AS same_pairs""")
+def item2vec_training(spark: SparkSession, d: str) -> DataFrame:
+    """The mean loss of a pair falls from epoch to epoch, and every epoch sees all pairs."""
+    losses = _item2vec(spark, d).tables["losses"]
+    told = losses.agg(F.sort_array(F.collect_list(F.struct("epoch", "loss", F.round("weight", 3).alias("weight")))).alias("e"))  # one row per epoch
+    loss = F.col("e.loss")
+    falls = F.forall(F.sequence(F.lit(1), F.size(loss) - 1), lambda k: F.element_at(loss, k + 1) < F.element_at(loss, k))
+    return told.select(F.size("e").cast("bigint").alias("epochs"), falls.alias("falls"), (F.size(F.array_distinct("e.weight")) == 1).alias("same_pairs"))
 
 
 @query("item2vec_recommend")

@@ -2,48 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from tastemill.models import skipgram
 from tastemill.models.base import Recommender, register, vector_topk
 from tastemill.operators.profiles import lookup_vectors_zero, mean_profile
 from tastemill.plans.ordered import chunk_scan
-from tastemill.operators.sequences import SENTENCE
-from tastemill.session import checkpointed
 
 
-def history_sentences(inter: DataFrame) -> DataFrame:
-    """A user's items in time order as sentences of bounded length."""
+def history_places(inter: DataFrame) -> DataFrame:
+    """A user's items in time order as one session."""
     rows = inter.withColumn("_day", F.to_date("last_ts"))
-    placed = chunk_scan(rows, ["user_id"], "_day", ["last_ts", "item_id"], position="_pos").withColumn("part", F.floor((F.col("_pos") - 1) / SENTENCE))
-    listed = placed.groupBy("user_id", "part").agg(F.sort_array(F.collect_list(F.struct("_pos", F.col("item_id").cast("string").alias("w")))).alias("s"))
-    return listed.select("user_id", "part", F.col("s.w").alias("sentence"))
+    placed = chunk_scan(rows, ["user_id"], "_day", ["last_ts", "item_id"], position="_pos")
+    return placed.select(F.col("user_id").alias("session"), F.col("_pos").alias("pos"), F.col("item_id").alias("item"))
 
 
 @register
 class Item2VecModel(Recommender):
-    """Skip-gram vectors (MLlib Word2Vec, whose vocabulary times vector size must stay below 2^31 floats)."""
+    """Skip-gram vectors of items with negative sampling, trained in tiles (models/skipgram.py)."""
 
     model_type = "item2vec"
 
-    def __init__(self, vector_size: int = 128, window: int = 5, min_count: int = 1, epochs: int = 5, seed: int = 42, partitions: int = 1, sg: int = 1):
+    def __init__(self, vector_size: int = 128, window: int = 5, min_count: int = 1, epochs: int = 5, seed: int = 42, negative: int = 5, sg: int = 1, **unused):
         if sg != 1:
             raise ValueError("only skip-gram (sg=1) is built")
-        super().__init__(vector_size=vector_size, window=window, min_count=min_count, epochs=epochs, seed=seed, partitions=partitions, sg=sg)
-
-    def fit(self, inter: DataFrame, items: DataFrame | None = None, sentences: DataFrame | None = None) -> Item2VecModel:
-        """``sentences(sentence array<string>)`` are sessions; without them each user's history is the session."""
-        p = self.params
-        sentences = history_sentences(inter) if sentences is None else sentences
-        w2v = Word2Vec(
-            vectorSize=p["vector_size"], windowSize=p["window"], minCount=p["min_count"], maxIter=p["epochs"], seed=p["seed"],
-            numPartitions=p["partitions"], maxSentenceLength=SENTENCE, inputCol="sentence", outputCol="_v",
-        )
-        vectors = w2v.fit(sentences).getVectors()
-        item_type = inter.schema["item_id"].dataType
-        table = vectors.select(F.col("word").cast(item_type).alias("item_id"), vector_to_array("vector").alias("vector"))
-        self.tables = {"item_vectors": checkpointed(table)}
+        if set(unused) - {"partitions"}:  # stored with models of an earlier version
+            raise TypeError(f"unknown parameters {sorted(unused)}")
+        super().__init__(vector_size=vector_size, window=window, min_count=min_count, epochs=epochs, seed=seed, negative=negative, sg=sg)
+
+    def fit(self, inter: DataFrame, items: DataFrame | None = None, sentences: DataFrame | None = None, sessions: DataFrame | None = None) -> Item2VecModel:
+        """Trains on ``sessions(user_id, session_no, pos, item_id)`` or ``sentences(sentence array<string>)``; without them each user's history is a session."""
+        p, item_type = self.params, inter.schema["item_id"].dataType
+        if sentences is not None:
+            sentences = sentences.select("sentence")
+            pairs = skipgram.sentence_pairs(sentences, p["window"])
+            words = sentences.select(F.explode("sentence").alias("item"))
+        else:
+            places = history_places(inter) if sessions is None else sessions.select(F.struct("user_id", "session_no").alias("session"), "pos", F.col("item_id").alias("item"))
+            pairs = skipgram.window_pairs(places, p["window"])
+            words = places
+        counts = words.groupBy("item").agg(F.count(F.lit(1)).alias("many"))
+        vectors, losses = skipgram.skipgram(pairs, counts, p["vector_size"], p["epochs"], p["min_count"], p["negative"], seed=p["seed"])
+        self.tables = {"item_vectors": vectors.select(F.col("item").cast(item_type).alias("item_id"), "vector"), "losses": losses}
         return self
 
     def vectors_for(self, ids: DataFrame) -> DataFrame:

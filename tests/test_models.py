@@ -1,10 +1,13 @@
 """Models: numeric references, invariants of the lists, storage and search."""
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tastemill.models import training
+from tastemill.models import skipgram, training
 from tastemill.models.als import ALSModel
 from tastemill.models.base import create_model, load_model, model_class, model_names
 from tastemill.models.ease import EASEModel, ease_weights, identity_recommend
@@ -142,7 +145,7 @@ def test_identity_recommend(inter):
 
 
 def test_item2vec(spark, inter):
-    model = Item2VecModel(vector_size=8, window=3, epochs=20).fit(inter)
+    model = Item2VecModel(vector_size=8, window=3, epochs=3).fit(inter)
     assert model.item_vectors().count() == 16
     check_lists(model.recommend(inter.select("user_id"), inter, 3), inter, 3)
     asked = spark.createDataFrame([(0,), (999,)], "item_id bigint")
@@ -150,6 +153,51 @@ def test_item2vec(spark, inter):
     assert got[999] == [0.0] * 8 and any(got[0])
     with pytest.raises(ValueError):
         Item2VecModel(sg=0)
+    with pytest.raises(TypeError):
+        Item2VecModel(windows=3)
+
+
+def test_window_pairs_match_brute_force(spark):
+    rng = random.Random(8)
+    sentences = [[str(rng.randint(0, 9)) for _ in range(rng.randint(0, 14))] for _ in range(30)] + [[], ["a"], ["a", "b"], ["hot"] * 40]
+    sentences[0] = ["x", None, "y"]
+    want = Counter()
+    for s in sentences:
+        for i, x in enumerate(s):
+            for j, y in enumerate(s):
+                if x is not None and y is not None and 0 < abs(i - j) <= 4:
+                    want[x, y] += (5 - abs(i - j)) / 4
+    places = spark.createDataFrame([(k, i, w) for k, s in enumerate(sentences) for i, w in enumerate(s)], "session int, pos int, item string")
+    arrays = spark.createDataFrame([(s,) for s in [*sentences, None]], "sentence array<string>")
+    for pairs in (skipgram.window_pairs(places, 4), skipgram.sentence_pairs(arrays, 4)):
+        got = {(r.centre, r.context): r.n for r in pairs.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_skipgram_in_tiles(spark, monkeypatch):
+    """Items of two tastes that never meet part company, whatever the number of blocks; the loss falls, and every pair is in every epoch."""
+    rng = random.Random(4)
+    rows = [(u, 0, i + 1, rng.randint(0, 30) * 2 + u % 2) for u in range(60) for i in range(20)]
+    sessions = spark.createDataFrame(rows, "user_id bigint, session_no int, pos int, item_id bigint")
+    monkeypatch.setattr(skipgram, "CHUNK", 64)
+    for blocks, epochs in ((2, 4), (5, 2)):
+        monkeypatch.setattr(skipgram, "BLOCKS", blocks)
+        places = sessions.selectExpr("struct(user_id, session_no) AS session", "pos", "item_id AS item")
+        pairs = skipgram.window_pairs(places, 5)
+        words = skipgram.vocabulary(places.groupBy("item").agg(F.count("*").alias("many")), 1)
+        assert words[1] == blocks
+        stored = skipgram.tiled(pairs, words[0], blocks).select(F.explode("n").alias("n")).agg(F.sum("n")).first()[0]
+        total = pairs.agg(F.sum("n")).first()[0]
+        model = Item2VecModel(vector_size=16, epochs=epochs).fit(sessions.select("user_id", "item_id"), sessions=sessions)
+        losses = [(r.loss, r.weight) for r in model.tables["losses"].orderBy("epoch").collect()]
+        assert abs(stored - total) < 1e-3 * total and all(abs(w - total) < 1e-3 * total for _, w in losses)
+        assert [x for x, _ in losses] == sorted((x for x, _ in losses), reverse=True) and len(losses) == epochs
+    vectors = {r.item_id: np.array(r.vector) / np.linalg.norm(r.vector) for r in model.item_vectors().collect()}
+    nearest = {i: max((float(v @ vectors[j]), j) for j in vectors if j != i)[1] for i, v in vectors.items()}
+    assert sum(i % 2 == j % 2 for i, j in nearest.items()) > 0.9 * len(nearest)
+    same = Item2VecModel(vector_size=16, epochs=2).fit(sessions.select("user_id", "item_id"), sessions=sessions.repartition(7))
+    again = {r.item_id: np.array(r.vector) / np.linalg.norm(r.vector) for r in same.item_vectors().collect()}
+    assert again.keys() == vectors.keys() and all(np.allclose(again[i], vectors[i], atol=1e-4) for i in vectors)
 
 
 def test_text_model_and_cache(inter, items):
