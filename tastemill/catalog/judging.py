@@ -12,7 +12,7 @@ from tastemill.operators import evaluation as ev, gram, privacy, recommend as re
 from tastemill.operators.interactions import interactions, item_popularity, user_history_size
 from tastemill.operators.profiles import normalised_weights
 from tastemill.plans.topk import rank_items, rank_lists, top_k, unseen_heads
-from tastemill.session import checkpointed
+from tastemill.session import checkpointed, work_path
 
 HOLD = 3
 TOP = 20
@@ -261,6 +261,28 @@ def apply_tombstones(spark: SparkSession, d: str) -> DataFrame:
     return privacy.without_users(b.click_interactions(spark, d), _erase(spark, d)).select("user_id", "item_id", "strength")
 
 
+def _erased(spark: SparkSession, d: str) -> str:
+    """The folder of stored purchases after the erasure requests, the second of which repeats the first."""
+    root = work_path(spark, "erasure")
+    privacy.store_events(b.purchases(spark, d).select("user_id", "item_id", "qty", "ts"), root)
+    requests = _erase(spark, d)
+    for _ in range(2):
+        privacy.delete_users(spark, root, requests, confirm=True, key="balance")
+    return root
+
+
+@query("erase_stored", f"WITH {b.SQL_PURCHASES}, {_SQL_ERASE} SELECT user_id, item_id, qty, ts FROM purchases WHERE user_id NOT IN (SELECT user_id FROM requests)")
+def erase_stored(spark: SparkSession, d: str) -> DataFrame:
+    """All rows in all files that the deletion leaves."""
+    return privacy.stored_events(spark, _erased(spark, d))
+
+
+@query("erase_tombstones", f"WITH {b.SQL_PURCHASES}, {_SQL_ERASE} SELECT user_id, CAST(count(*) AS BIGINT) AS deleted_events FROM purchases WHERE user_id IN (SELECT user_id FROM requests) GROUP BY user_id")
+def erase_tombstones(spark: SparkSession, d: str) -> DataFrame:
+    """One tombstone per user with events, although the request was run twice."""
+    return spark.read.parquet(f"{_erased(spark, d)}/deleted_users").select("user_id", "deleted_events")
+
+
 @query("audit_trail", f"WITH {_SQL_ERASE} SELECT user_id, 'DELETE' AS action, 'done' AS status FROM requests")
 def audit_trail(spark: SparkSession, d: str) -> DataFrame:
     return privacy.audit_rows(_erase(spark, d), "DELETE", "done").select("user_id", "action", "status")

@@ -16,7 +16,7 @@ from tastemill.models.hybrid import HybridModel, compose
 from tastemill.models.item2vec import Item2VecModel
 from tastemill.models.sgd import BPRModel, FeatureFactorModel
 from tastemill.models.text import TextEmbeddingModel
-from tastemill.operators import sequences
+from tastemill.operators import privacy, sequences
 from tastemill.operators.ann import VectorIndex, as_queries
 from tastemill.operators.gram import item_gram
 from tastemill.plans.ordered import dense_index
@@ -190,6 +190,17 @@ def train_model(spark: SparkSession, d: str) -> DataFrame:
     return _shown(hits.withColumnRenamed("query_id", "user_id"))
 
 
+@query("train_without_deleted", f"""WITH {b.SQL_INTERACTIONS} SELECT DISTINCT user_id FROM inter WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+def train_without_deleted(spark: SparkSession, d: str) -> DataFrame:
+    """Users of a model trained on the log after some asked to be deleted, honouring the tombstones alone."""
+    root = work_path(spark, "honoured")
+    events = b.purchases(spark, d)
+    privacy.store_events(events.select("user_id", "item_id", "qty", "ts"), root)
+    privacy.delete_users(spark, root, b.table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id")), confirm=True, key="balance")
+    training.train("als", events, f"{root}/als", params={"factors": 8, "iterations": 2}, deleted=privacy.deleted_users(spark, root))
+    return load_model(spark, f"{root}/als/model").user_vectors().select("user_id")
+
+
 @query("fit_and_evaluate")
 def fit_and_evaluate(spark: SparkSession, d: str) -> DataFrame:
     """ALS on all but the last items of each user, judged on those."""

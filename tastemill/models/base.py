@@ -36,6 +36,12 @@ class Recommender:
     def user_vectors(self) -> DataFrame | None:
         return self.tables.get("user_vectors")
 
+    def forget(self, deleted: DataFrame | None) -> Recommender:
+        """The model without the rows of deleted users (``user_id``); they get no vectors and, passed as users, no list."""
+        if deleted is not None:
+            self.tables = {name: t.join(deleted.select("user_id"), "user_id", "left_anti") if "user_id" in t.columns else t for name, t in self.tables.items()}
+        return self
+
     def _require_fit(self) -> None:
         if not self.tables:
             raise RuntimeError(f"the {self.model_type} model is not fitted")

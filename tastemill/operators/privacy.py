@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tastemill.plans.ordered import chunk_scan
 from tastemill.session import checkpointed
-from tastemill.sources.tables import VersionedTable
+from tastemill.sources.tables import path_exists, read_text, remove, write_text
 
 EXPORT_PART = 1000
+#: Partitions of the stored events, and the column that names them.
+BUCKETS, BUCKET = 64, "user_bucket"
 
 
 def export_rows(events: DataFrame, items: DataFrame, requests: DataFrame) -> DataFrame:
@@ -56,23 +58,86 @@ def audit_rows(requests: DataFrame, action: str, status: str) -> DataFrame:
     return requests.select(F.current_timestamp().alias("ts"), F.lit(action).alias("action"), F.col("user_id"), F.lit(status).alias("status"))
 
 
-def delete_users(spark: SparkSession, root: str, requests: DataFrame, confirm: bool) -> int:
-    """Delete users from the ``events`` table, write tombstones and audit rows; returns the number of users deleted.
+def _bucket(user: str, buckets: int):
+    return F.pmod(F.xxhash64(user), F.lit(buckets)).cast("int")
 
-    Tombstones are written before the events go, so readers that honour them never see a half-deleted user.
+
+def store_events(events: DataFrame, root: str, buckets: int = BUCKETS) -> None:
+    """Append to the plain parquet folder ``root/events``, partitioned by a hash of the user, so that a deletion touches few partitions.
+
+    The number of buckets is fixed by the first call. Rows of a bucket are spread over tasks by a hash of the item."""
+    spark, told = events.sparkSession, f"{root}/buckets"
+    if not path_exists(spark, told):
+        write_text(spark, told, str(buckets))
+    rows = events.withColumn(BUCKET, _bucket("user_id", int(read_text(spark, told))))
+    rows.repartition(BUCKET, F.pmod(F.xxhash64("item_id"), F.lit(4))).write.mode("append").partitionBy(BUCKET).parquet(f"{root}/events")
+
+
+def stored_events(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/events").drop(BUCKET)
+
+
+def deleted_users(spark: SparkSession, root: str) -> DataFrame | None:
+    """``user_id`` of all tombstones, or None before the first deletion. Training, models and the update worker take it as ``deleted``."""
+    path = f"{root}/deleted_users"
+    return spark.read.parquet(path).select("user_id").distinct() if path_exists(spark, path) else None
+
+
+def erase_rows(spark: SparkSession, path: str, requests: DataFrame, key: str, buckets: int, partitions: tuple[str, ...] = (BUCKET,)) -> None:
+    """Rewrite the partitions of a parquet folder that hold rows of the requested users, without them; all other files stay as they are.
+
+    What stays is first written beside the folder, then put in place by a dynamic partition overwrite. A stopped run goes on from there when it is repeated under
+    its key, so nothing may be appended to the folder in between. Partitions that lose all their rows are removed.
+    """
+    pending = f"{path}.pending-{key}"
+    rows = spark.read.parquet(path)
+    requests = requests.select(F.col("user_id").cast(rows.schema["user_id"].dataType).alias("user_id"))
+    numbers = [r[0] for r in requests.select(_bucket("user_id", buckets)).distinct().collect()]  # at most ``buckets``
+    near = rows.where(F.col(BUCKET).isin(numbers))
+    if not path_exists(spark, f"{pending}/_SUCCESS"):
+        touched = checkpointed(near.join(requests, "user_id", "left_semi").select(*partitions).distinct())
+        if touched.isEmpty():
+            return
+        kept = without_users(near.join(touched, list(partitions), "left_semi"), requests)
+        kept.select(*rows.columns).write.mode("overwrite").partitionBy(*partitions).parquet(pending)
+    kept = spark.read.schema(rows.schema).parquet(pending)
+    if not kept.isEmpty():
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    emptied = spark.read.schema(rows.schema).parquet(path).where(F.col(BUCKET).isin(numbers)).join(requests, "user_id", "left_semi")
+    for values in emptied.select(*partitions).distinct().collect():  # one row per partition
+        remove(spark, "/".join([path, *(f"{name}={value}" for name, value in zip(partitions, values, strict=True))]))
+    remove(spark, pending)
+
+
+def delete_users(spark: SparkSession, root: str, requests: DataFrame, confirm: bool, key: str | None = None) -> int:
+    """Delete users from the stored events, write tombstones and audit rows; returns the number of users that had events.
+
+    ``key`` names the request (by default a digest of its users): tombstones and audit rows lie under it, so a repeated run replaces its own and counts nothing
+    twice. Tombstones are written before the events go, so readers that honour them never see a half-deleted user.
     """
     if not confirm:
         return 0
-    events = VersionedTable(spark, f"{root}/events")
-    current = events.read()
-    stones = tombstones(current, requests).withColumn("deletion_timestamp", F.unix_timestamp(F.current_timestamp()))
-    stones = checkpointed(stones)
+    path = f"{root}/events"
+    kind = spark.read.parquet(path).schema["user_id"].dataType
+    asked = checkpointed(requests.select(F.col("user_id").cast(kind).alias("user_id")).where("user_id IS NOT NULL").distinct())
+    if key is None:
+        many, digest = asked.agg(F.count(F.lit(1)), F.sum(F.xxhash64("user_id").cast("decimal(38,0)"))).first()
+        key = f"{many}-{digest or 0}"
+    buckets = int(read_text(spark, f"{root}/buckets"))
+    stones_path, audit_path = (f"{root}/{name}/request={key}" for name in ("deleted_users", "audit"))
+    numbers = [r[0] for r in asked.select(_bucket("user_id", buckets)).distinct().collect()]  # at most ``buckets``
+    own = spark.read.parquet(path).where(F.col(BUCKET).isin(numbers))
+    stones = checkpointed(tombstones(own, asked).withColumn("deletion_timestamp", F.unix_timestamp(F.current_timestamp())))
     gone = stones.count()
-    if gone == 0:
-        return 0
-    VersionedTable(spark, f"{root}/deleted_users").append(stones.select("user_id", "deletion_timestamp"))
-    events.replace(without_users(current, requests))
-    VersionedTable(spark, f"{root}/audit").append(audit_rows(requests, "DELETE", "done"))
+    if gone:
+        if path_exists(spark, f"{stones_path}/_SUCCESS"):
+            # A run that was stopped: its own counts stand, except for users whose events it had not seen.
+            before = spark.read.schema(stones.schema).parquet(stones_path)
+            stones = checkpointed(before.unionByName(stones.join(before.select("user_id"), "user_id", "left_anti")))
+        stones.write.mode("overwrite").parquet(stones_path)
+    erase_rows(spark, path, asked, key, buckets)
+    if gone or (path_exists(spark, stones_path) and not path_exists(spark, f"{audit_path}/_SUCCESS")):
+        audit_rows(asked, "DELETE", "done").write.mode("overwrite").parquet(audit_path)
     return gone
 
 

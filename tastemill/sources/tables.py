@@ -6,8 +6,8 @@ leaves the old one, and a table can be rewritten from itself.
 
 from __future__ import annotations
 
+import hashlib
 import json
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +44,9 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r.value for r in spark.read.text(path).collect())
 
 
-def _numbered(key: str) -> tuple[str, int | None]:
-    """A key's text and its number; a key without a number is its own text."""
-    found = re.fullmatch(r"(.*?)(\d+)", key)
-    return (found[1], int(found[2])) if found else (key, None)
-
+def remove(spark: SparkSession, path: str) -> None:
+    hpath, fs = _fs(spark, path)
+    fs.delete(hpath, True)
 
 
 class VersionedTable:
@@ -77,30 +75,30 @@ class VersionedTable:
         return result
 
     def compact(self) -> None:
-        """Rewrite many small parts as one version."""
-        self.replace(self.read())
+        """Rewrite many small parts as one version; the keys that it holds stay known."""
+        pointer = self._pointer() or {"parts": []}
+        known = [*pointer.get("merged", []), *(part.rsplit("/", 1)[1] for part in pointer["parts"] if "/k-" in part)]
+        self._point([self._write(self.read())], known)
 
-    def _write(self, df: DataFrame) -> str:
-        path = f"{self.root}/v-{uuid.uuid4().hex[:12]}"
-        df.write.partitionBy(*self.partition_by).parquet(path)
+    def _point(self, parts: list[str], merged: list[str] | None = None) -> None:
+        write_text(self.spark, f"{self.root}/{_POINTER}", json.dumps({"parts": parts, **({"merged": merged} if merged else {})}))
+
+    def _write(self, df: DataFrame, name: str | None = None) -> str:
+        path = f"{self.root}/{name or 'v-' + uuid.uuid4().hex[:12]}"
+        df.write.mode("overwrite").partitionBy(*self.partition_by).parquet(path)
         return path
 
     def replace(self, df: DataFrame) -> None:
-        write_text(self.spark, f"{self.root}/{_POINTER}", json.dumps({"parts": [self._write(df)]}))
+        self._point([self._write(df)])
 
     def append(self, df: DataFrame, key: str | None = None) -> bool:
-        """Add rows; a ``key`` that was appended before is skipped, so a retried micro-batch is written once.
-
-        Numbered keys (``batch-7``) come in rising order within a stream, so the highest number of each prefix stands for all before it."""
+        """Add rows. A ``key`` has a part of its own: one that was appended before is skipped, and one that failed on the way is written over, so a
+        retried micro-batch is there once. Keys may come in any order; feeds put the id of their stream into it."""
         pointer = self._pointer() or {"parts": []}
-        done = pointer.get("done", {})
-        prefix, number = _numbered(key) if key is not None else (None, None)
-        if key is not None and prefix in done and (number is None or number <= done[prefix]):
+        name = f"k-{hashlib.sha256(key.encode()).hexdigest()[:24]}" if key is not None else None
+        if name and (f"{self.root}/{name}" in pointer["parts"] or name in pointer.get("merged", [])):
             return False
-        pointer["parts"] = [*pointer["parts"], self._write(df)]
-        if key is not None:
-            pointer["done"] = {**done, prefix: number}
-        write_text(self.spark, f"{self.root}/{_POINTER}", json.dumps(pointer))
+        self._point([*pointer["parts"], self._write(df, name)], pointer.get("merged"))
         return True
 
     def create_if_absent(self, df: DataFrame) -> bool:

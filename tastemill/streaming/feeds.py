@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tastemill import schemas
 from tastemill.sources.ingest import align
 from tastemill.sources.messages import split_messages
-from tastemill.sources.tables import VersionedTable, path_exists
+from tastemill.sources.tables import VersionedTable, path_exists, read_text
 
 POLL = "5 seconds"  # fixed value: poll interval of the feed
 
@@ -34,6 +36,11 @@ def stream_to_parquet(stream: DataFrame, out: str, checkpoint: str, once: bool =
     return _trigger(writer, once, interval).start()
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query of a checkpoint folder. A new folder, also one at an old place, has another id, so its batch numbers are its own."""
+    return json.loads(read_text(spark, f"{checkpoint}/metadata"))["id"]
+
+
 def isolated_event_files(spark: SparkSession, path: str, table: VersionedTable, quarantine: VersionedTable, checkpoint: str, schema: T.StructType = schemas.EVENTS,
                          max_files: int = 100, once: bool = True, interval: str = POLL):
     """As :func:`event_files`, but one bad file never stops the feed.
@@ -55,8 +62,9 @@ def isolated_event_files(spark: SparkSession, path: str, table: VersionedTable,
         files, bad = fresh + again, []
         if not files:
             return
+        key = f"{stream_id(spark, checkpoint)}/{batch_id}"
         try:
-            append(files, f"batch-{batch_id}")
+            append(files, key)
         except Exception:
             good = []
             for name in files:
@@ -66,7 +74,7 @@ def isolated_event_files(spark: SparkSession, path: str, table: VersionedTable,
                 except Exception as problem:
                     bad.append((name, str(problem).splitlines()[0][:500]))
             if good:
-                append(good, f"batch-{batch_id}")
+                append(good, key)
         if bad or again:
             waiting = quarantine.read().join(spark.createDataFrame([(f,) for f in files], "path string"), "path", "left_anti") if quarantine.exists() else None
             rows = spark.createDataFrame(bad, "path string, problem string")

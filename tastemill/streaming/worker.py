@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tastemill.functions.vectors import mean_vectors, sum_vectors
 from tastemill.models.als import fold_in
 from tastemill.operators.interactions import new_items
+from tastemill.operators.privacy import deleted_users, erase_rows, without_users
 from tastemill.session import checkpointed
 from tastemill.sources.tables import path_exists
 
@@ -57,10 +58,14 @@ class UpdateWorker:
     A new item takes its content vector if ``content_vectors`` has one of the same space, else the mean vector of the
     items bought by the same users in the batch, else it waits in ``pending``. All outputs carry the batch number and are
     rewritten as a whole when a batch is repeated, so restarts do not count twice.
+
+    With ``privacy_root`` (where ``delete_users`` keeps its tombstones) events of deleted users are left out of every batch, and ``erase`` takes what the
+    worker already holds of them.
     """
 
-    def __init__(self, spark: SparkSession, root: str, item_vectors: DataFrame, factors: int, regularization: float, alpha: float, content_vectors: DataFrame | None = None, buckets: int = USER_BUCKETS):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, item_vectors: DataFrame, factors: int, regularization: float, alpha: float, content_vectors: DataFrame | None = None, buckets: int = USER_BUCKETS,
+                 privacy_root: str | None = None):
+        self.spark, self.root, self.privacy_root = spark, root, privacy_root
         self.factors, self.regularization, self.alpha = factors, regularization, alpha
         self.content = content_vectors
         self.log = InteractionLog(spark, f"{root}/interactions", buckets)
@@ -70,7 +75,8 @@ class UpdateWorker:
             self.items.append(item_vectors, -1)
 
     def update(self, events: DataFrame, batch_id: int) -> None:
-        events = events.persist()
+        deleted = deleted_users(self.spark, self.privacy_root) if self.privacy_root else None
+        events = (events if deleted is None else without_users(events, deleted)).persist()
         try:
             if events.isEmpty():
                 return
@@ -88,6 +94,17 @@ class UpdateWorker:
         finally:
             events.unpersist()
 
+    def erase(self, requests: DataFrame, key: str) -> None:
+        """Remove users from the log and from the stored vectors, between two batches; a repeated run finds nothing more to do."""
+        if path_exists(self.spark, self.log.path):
+            erase_rows(self.spark, self.log.path, requests.select("user_id"), key, self.log.buckets, ("batch", "user_bucket"))
+        if path_exists(self.spark, self.users.path):
+            vectors = self.spark.read.parquet(self.users.path)
+            touched = [r.batch for r in vectors.join(requests, "user_id", "left_semi").select("batch").distinct().collect()]  # one number per batch
+            kept = checkpointed(without_users(vectors.where(F.col("batch").isin(touched)), requests))
+            for batch in touched:
+                kept.where(F.col("batch") == batch).drop("batch").write.mode("overwrite").parquet(f"{self.users.path}/batch={batch}")
+
     def _known_before(self, batch_id: int) -> DataFrame:
         rows = self.spark.read.parquet(self.items.path).where(F.col("batch") < batch_id)
         return rows.groupBy("item_id").agg(F.max_by("vector", "batch").alias("vector"))

@@ -1,6 +1,7 @@
 """Ingestion, messages, tables and privacy on small inputs."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,17 +106,77 @@ def test_versioned_table(spark, tmp_path):
     assert sorted(r["x"] for r in table.read().collect()) == [1, 2]
 
 
+def test_keyed_parts_in_any_order(spark, tmp_path):
+    table = VersionedTable(spark, f"{tmp_path}/t")
+    one = lambda x: spark.createDataFrame([(x,)], "x int")
+    for key, x in (("day-2024-01-05", 5), ("day-2024-01-03", 3), ("feed-a/1", 1), ("feed-b/1", 2), ("feed-a/0", 0)):
+        assert table.append(one(x), key) and not table.append(one(x), key)
+    table.compact()
+    assert not table.append(one(3), "day-2024-01-03") and table.append(one(9), "day-2024-01-09")
+    table.compact()
+    assert not table.append(one(9), "day-2024-01-09")
+    assert sorted(r.x for r in table.read().collect()) == [0, 1, 2, 3, 5, 9]
+
+
 def test_delete_users(spark, tmp_path):
     root = str(tmp_path)
     events = spark.createDataFrame(EVENTS, "user_id string, item_id string, ts bigint, qty int")
-    VersionedTable(spark, f"{root}/events").replace(events)
-    requests = spark.createDataFrame([("U_01",), ("nobody",)], "user_id string")
-    assert privacy.delete_users(spark, root, requests, confirm=False) == 0
+    privacy.store_events(events, root)
+    requests = spark.createDataFrame([("U_01",), ("nobody",), (None,)], "user_id string")
+    assert privacy.delete_users(spark, root, requests, confirm=False) == 0 and privacy.deleted_users(spark, root) is None
     assert privacy.delete_users(spark, root, requests, confirm=True) == 1
-    assert {r["user_id"] for r in VersionedTable(spark, f"{root}/events").read().collect()} == {"U_02", "U_03"}
-    stones = VersionedTable(spark, f"{root}/deleted_users").read().collect()
+    assert {r["user_id"] for r in privacy.stored_events(spark, root).collect()} == {"U_02", "U_03"}
+    stones = spark.read.parquet(f"{root}/deleted_users").collect()
     assert [r["user_id"] for r in stones] == ["U_01"] and stones[0]["deletion_timestamp"] > 1_600_000_000
     assert privacy.delete_users(spark, root, requests, confirm=True) == 0
+    assert spark.read.parquet(f"{root}/deleted_users").count() == 1 and spark.read.parquet(f"{root}/audit").count() == 2
+
+
+def parquet_files(root):
+    return {p: p.stat().st_mtime_ns for p in Path(root).rglob("*.parquet")}
+
+
+def test_deletion_leaves_no_file_with_the_user(spark, tmp_path):
+    root = str(tmp_path)
+    events = spark.createDataFrame([(u, i % 5, i, 1) for u in range(40) for i in range(3 + u)], "user_id bigint, item_id int, ts bigint, qty int")
+    privacy.store_events(events.where("ts < 2"), root, buckets=16)
+    privacy.store_events(events.where("ts >= 2"), root, buckets=4)  # the first number counts
+    lonely = [r.user_id for r in spark.read.parquet(f"{root}/events").groupBy("user_bucket").agg(F.min("user_id").alias("user_id"), F.countDistinct("user_id").alias("n")).where("n = 1").collect()]
+    gone = {3, 17, 39, *lonely[:1]}
+    before = parquet_files(f"{root}/events")
+    requests = spark.createDataFrame([(u,) for u in [*gone, 3]], "user_id int")
+    assert privacy.delete_users(spark, root, requests, confirm=True, key="r1") == len(gone)
+    left = spark.read.parquet(*(str(p) for p in parquet_files(f"{root}/events")))  # every file that remains, hidden or not
+    assert not gone & {r.user_id for r in left.select("user_id").distinct().collect()}
+    assert sorted(map(tuple, privacy.stored_events(spark, root).collect())) == sorted(tuple(r) for r in events.collect() if r.user_id not in gone)
+    held = {p for p in before if p in parquet_files(f"{root}/events")}
+    assert held and all(parquet_files(f"{root}/events")[p] == before[p] for p in held)  # other buckets were not written
+    assert not list(Path(root).glob("events.pending*"))
+    stones = {r.user_id: r.deleted_events for r in spark.read.parquet(f"{root}/deleted_users").collect()}
+    assert stones == {u: 3 + u for u in gone}
+    after = parquet_files(root)
+    assert privacy.delete_users(spark, root, requests, confirm=True, key="r1") == 0 and parquet_files(root) == after
+    # The user comes back and asks again.
+    privacy.store_events(events.where("user_id = 3"), root)
+    assert privacy.delete_users(spark, root, spark.createDataFrame([(3,)], "user_id int"), confirm=True, key="r2") == 1
+    assert privacy.stored_events(spark, root).where("user_id = 3").count() == 0
+    assert {r.user_id for r in privacy.deleted_users(spark, root).collect()} == gone
+
+
+def test_stopped_deletion_goes_on(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    events = spark.createDataFrame([(u, i, i, 1) for u in range(20) for i in range(4)], "user_id bigint, item_id int, ts bigint, qty int")
+    privacy.store_events(events, root, buckets=4)
+    requests = spark.createDataFrame([(u,) for u in (1, 2, 3)], "user_id bigint")
+    for broken in ("erase_rows", "remove", "audit_rows"):
+        with monkeypatch.context() as patch:
+            patch.setattr(privacy, broken, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                privacy.delete_users(spark, root, requests, confirm=True, key="r")
+    privacy.delete_users(spark, root, requests, confirm=True, key="r")
+    assert sorted(map(tuple, privacy.stored_events(spark, root).collect())) == sorted(tuple(r) for r in events.where("user_id NOT IN (1, 2, 3)").collect())
+    assert {(r.user_id, r.deleted_events) for r in spark.read.parquet(f"{root}/deleted_users").collect()} == {(u, 4) for u in (1, 2, 3)}
+    assert spark.read.parquet(f"{root}/audit").count() == 3
 
 
 def test_export_is_split_into_parts(spark, tmp_path):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tastemill import schemas
 from tastemill.models.als import ALSModel, fold_in
+from tastemill.operators import privacy
 from tastemill.operators.interactions import interactions
 from tastemill.sources.tables import VersionedTable
 from tastemill.streaming import feeds, windows
@@ -64,6 +65,30 @@ def test_bad_file_is_retried(spark, tmp_path):
     assert quarantine.read().count() == 0
 
 
+def test_feeds_into_one_table_lose_nothing(spark, tmp_path):
+    """Two feeds with batches of one file, a feed that starts over with an empty checkpoint folder, and a batch that is repeated."""
+    root = str(tmp_path)
+    table, quarantine = VersionedTable(spark, f"{root}/events"), VersionedTable(spark, f"{root}/quarantine")
+
+    def run(name, state):
+        feeds.finish(feeds.isolated_event_files(spark, f"{root}/{name}", table, quarantine, f"{root}/{state}", schemas.EVENTS, max_files=1))
+        return sorted(r["ts"] for r in table.read().collect())
+
+    for k in range(3):
+        write(spark, rows_of(1000 + k, 1), f"{root}/a")
+    for k in range(2):
+        write(spark, rows_of(2000 + k, 1), f"{root}/b")
+    assert run("a", "state-a") == [1000, 1001, 1002]
+    assert run("b", "state-b") == [1000, 1001, 1002, 2000, 2001]
+    write(spark, rows_of(3000, 1), f"{root}/c")
+    (tmp_path / "state-a").rename(tmp_path / "old-state")
+    assert run("c", "state-a") == [1000, 1001, 1002, 2000, 2001, 3000]
+    # The last batch is run again: its record of completion is lost.
+    for record in (tmp_path / "state-a" / "commits").glob("*"):
+        record.unlink()
+    assert run("c", "state-a") == [1000, 1001, 1002, 2000, 2001, 3000]
+
+
 def click_stream(spark, root, rows):
     df = spark.createDataFrame(rows, "event_id int, user_id string, item_id string, s int, value double")
     df = df.select("event_id", "user_id", "item_id", F.timestamp_seconds(F.lit(1704067200) + F.col("s")).alias("ts"), "value")
@@ -123,3 +148,24 @@ def test_update_worker(spark, tmp_path):
     worker.update(spark.createDataFrame(second, EVENTS), 1)
     again = {r["user_id"]: r["vector"] for r in worker.users.read().collect()}
     assert again["u0"] == pytest.approx(got["u0"], abs=1e-9)
+
+
+def test_worker_honours_tombstones(spark, tmp_path):
+    root = str(tmp_path)
+    rows = rows_of(1000, 20)
+    events = spark.createDataFrame(rows, EVENTS)
+    model = ALSModel(factors=3, iterations=3, regularization=0.1).fit(interactions(events))
+    worker = UpdateWorker(spark, f"{root}/state", model.item_vectors(), 3, 0.1, 1.0, buckets=4, privacy_root=root)
+    worker.update(events, 0)
+    worker.update(events.where("user_id <> 'u0'"), 1)
+    privacy.store_events(events, root)
+    requests = spark.createDataFrame([("u1",)], "user_id string")
+    assert privacy.delete_users(spark, root, requests, confirm=True, key="r") == 1
+    for _ in range(2):
+        worker.erase(requests, "r")
+    users = lambda path: {r.user_id for r in spark.read.parquet(path).select("user_id").distinct().collect()}
+    assert users(f"{root}/state/interactions") == users(f"{root}/state/user_vectors") == {"u0", "u2", "u3", "u4"}
+    worker.update(events, 2)  # a late delivery of the deleted user's events
+    assert "u1" not in users(f"{root}/state/interactions") | {r.user_id for r in worker.users.read().collect()}
+    kept = model.forget(privacy.deleted_users(spark, root))
+    assert {r.user_id for r in kept.user_vectors().collect()} == {"u0", "u2", "u3", "u4"}
