@@ -2,6 +2,9 @@
 
 Every stage takes the documents that its predecessor kept, written as Parquet and read again. Rules reject documents of low quality, one document of
 each near-duplicate group stays, repeated passages are cut, secrets are masked, and what is left is packed into sequences.
+
+Defined cases are those of the operators: null and empty texts fall to the rules, rows that repeat are copies, null ids stay rows, an empty table goes through
+all stages, and columns beyond those that a stage reads keep their names and values.
 """
 
 from __future__ import annotations
@@ -12,6 +15,9 @@ from tastemill.llm import packing, quality, repeats, secrets, shingle_join
 from tastemill.llm.common import table
 from tastemill.session import work_path
 
+#: Bytes from which on a repeated passage goes. Fifty words are longer than that in all four languages, a sentence is rarely.
+PASSAGE = 200
+
 
 def with_length(before: DataFrame, after: DataFrame) -> DataFrame:
     """``n_chars``, where the documents have it, follows the text."""
@@ -27,7 +33,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_length(docs, repeats.cut_repeats(docs))
+    return with_length(docs, repeats.cut_repeats(docs, PASSAGE))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
