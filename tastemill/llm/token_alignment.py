@@ -19,6 +19,7 @@ further columns are ignored. Texts are never cut.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from functools import lru_cache
 from itertools import accumulate
@@ -26,6 +27,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
+from public_tokenizers import PATTERN
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from sentencepiece import SentencePieceProcessor
@@ -37,9 +40,9 @@ from tastemill.session import checkpointed
 
 SLICE = 2 << 20
 #: At most so many pairs are sent to every task.
-HEAD = 1 << 17
-#: Bits for how often a document holds a pair; the pair itself takes the bits above.
-TIMES = 31
+HEAD = 1 << 16
+#: Bits of a pair of ids, and for how often a document holds it.
+PAIR, TIMES = 32, 31
 
 
 def byte_level() -> dict[str, int]:
@@ -51,15 +54,29 @@ def byte_level() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def first_tokenizer(stored: bytes):
-    """(ids of many texts, bytes of every id) of a byte-level vocabulary, given as the bytes of its file."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    tokenizer = Tokenizer.from_buffer(stored)
-    tokenizer.encode_special_tokens = True
-    byte = byte_level()
-    spelled = [b""] * tokenizer.get_vocab_size()
-    for token, i in tokenizer.get_vocab().items():
+    """(ids of a text behind a space, bytes of every id) of a byte-level vocabulary, given as the bytes of its file.
+
+    Where the merges stand in the order of the ids that they make, and the file adds nothing to the usual pattern of byte-level BPE, the ids are ranks,
+    and tiktoken gives the same ids in a quarter of the time. Any other file is left to the library that wrote it.
+    """
+    described = json.loads(stored)
+    model, byte = described["model"], byte_level()
+    spelled = [b""] * (1 + max([*model["vocab"].values(), *(t["id"] for t in described["added_tokens"])]))
+    for token, i in [*((t["content"], t["id"]) for t in described["added_tokens"]), *model["vocab"].items()]:
         spelled[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    return lambda texts: [e.ids for e in tokenizer.encode_batch([f" {t}" for t in texts], add_special_tokens=False)], spelled
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get("".join(m)) for m in merges]
+    steps = described["pre_tokenizer"] or {}
+    plain = steps.get("type") == "ByteLevel" and not steps.get("add_prefix_space") and steps.get("use_regex", True) and not described["normalizer"]
+    extras = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")
+    if plain and made == list(range(256, 256 + len(merges))) and not any(model.get(name) for name in extras):
+        ranks = {spelled[i]: i for i in range(256 + len(merges))}
+        tokenizer = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: tokenizer.encode_ordinary(f" {text}"), spelled
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    whole = Tokenizer.from_buffer(stored)
+    whole.encode_special_tokens = True
+    return lambda text: whole.encode(f" {text}", add_special_tokens=False).ids, spelled
 
 
 @lru_cache(maxsize=2)
@@ -71,10 +88,14 @@ def second_tokenizer(stored: bytes):
     return lambda texts: model.encode(texts, num_threads=1), spelled
 
 
-def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Cut two rising lists of ends with the same last entry: (first of a, behind it, first of b, behind it), in order. A part with as many tokens on
-    either side all of whose ends agree is a stretch of one-to-one groups; any other part is one group."""
-    out, i, j, n = [], 0, 0, len(a)
+def meet(a: list[int], b: list[int], ids: list[str], pieces: list[str]) -> tuple[list[str], list[int], list[int], list[int]]:
+    """Align two rising lists of ends with the same last entry, and the names of the tokens that end there.
+
+    Returns ``a1,a2|b1`` of every group, the stretches of one-to-one groups (index in a, index in b and length of each, one behind the other), and the
+    indexes of the tokens of every link of the other groups.
+    """
+    groups, runs, left, right = [], [], [], []
+    i, j, n = 0, 0, len(a)
     while i < n:
         run, width = 0, 1
         while i + run < n and a[i + run : i + run + width] == b[j + run : j + run + width]:
@@ -88,54 +109,34 @@ def stretches(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
         else:
             run = n - i
         if run:
-            out.append((i, i + run, j, j + run))
+            runs += (i, j, run)
+            groups.extend(map("|".join, zip(ids[i : i + run], pieces[j : j + run], strict=True)))
             i, j = i + run, j + run
             if i == n:
                 break
         p, q = i, j
         x, y = a[p], b[q]
-        while x != y:
+        while True:
+            left.append(p)
+            right.append(q)
             if x < y:
                 p += 1
                 x = a[p]
-            else:
+            elif y < x:
                 q += 1
                 y = b[q]
-        out.append((i, p + 1, j, q + 1))
+            else:
+                break
+        groups.append(f"{','.join(ids[i : p + 1])}|{','.join(pieces[j : q + 1])}")
         i, j = p + 1, q + 1
-    return out
-
-
-def linked(a: list[int], b: list[int], parts: list[tuple[int, int, int, int]]) -> tuple[list[int], list[int], int]:
-    """Indexes of the tokens of every link, and the number of groups."""
-    left, right, groups = [], [], 0
-    for i, p, j, q in parts:
-        if p - i == q - j and a[i] == b[j]:
-            left.extend(range(i, p))
-            right.extend(range(j, q))
-            groups += p - i
-            continue
-        groups += 1
-        while i < p:
-            left.append(i)
-            right.append(j)
-            x, y = a[i], b[j]
-            if x <= y:
-                i += 1
-            if y <= x:
-                j += 1
-    return left, right, groups
-
-
-def spelling(a: list[int], b: list[int], ids: list[str], pieces: list[str], parts: list[tuple[int, int, int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of every group."""
-    out = []
-    for i, p, j, q in parts:
-        if p - i == q - j and a[i] == b[j]:
-            out.extend(map("|".join, zip(ids[i:p], pieces[j:q], strict=True)))
-        else:
-            out.append(f"{','.join(ids[i:p])}|{','.join(pieces[j:q])}")
-    return ";".join(out)
+    return groups, runs, left, right
+
+
+def linked(runs: list[int], left: list[int], right: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the tokens of all links, in no order."""
+    first, other, length = np.array(runs, np.int64).reshape(-1, 3).T
+    within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    return np.concatenate([np.repeat(first, length) + within, np.array(left, np.int64)]), np.concatenate([np.repeat(other, length) + within, np.array(right, np.int64)])
 
 
 def aligned(docs: DataFrame, files: Broadcast, names: tuple[str, ...]) -> DataFrame:
@@ -148,26 +149,22 @@ def aligned(docs: DataFrame, files: Broadcast, names: tuple[str, ...]) -> DataFr
         name = list(map(str, range(max(len(bytes_a), len(bytes_b)))))
         for batch in sliced(batches, "text", SLICE):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            counts, digests, rows, pairs = np.zeros((4, len(texts)), np.int64), [], [], []
-            for k, (text, ids, pieces) in enumerate(zip(texts, encode_a(texts), encode_b(texts), strict=True)):
-                whole = f" {text}".encode()
+            counts, digests, held = np.zeros((4, len(texts)), np.int64), [], []
+            for k, (text, pieces) in enumerate(zip(texts, encode_b(texts), strict=True)):
+                ids, whole = encode_a(text) if text else [], f" {text}".encode()
                 if not text or b"".join(map(bytes_a.__getitem__, ids)) != whole or b"".join(map(bytes_b.__getitem__, pieces)) != whole:
                     digests.append("")
                     continue
                 a, b = list(accumulate(map(size_a.__getitem__, ids))), list(accumulate(map(size_b.__getitem__, pieces)))
-                parts = stretches(a, b)
-                left, right, groups = linked(a, b, parts)
-                counts[:, k] = len(ids), len(pieces), groups, len(left)
-                digests.append(hashlib.sha256(spelling(a, b, [name[x] for x in ids], [name[x] for x in pieces], parts).encode()).hexdigest())
-                pairs.append(np.array(ids, np.int64)[left] * len(bytes_b) + np.array(pieces, np.int64)[right])
-                rows.append(np.full(len(left), k))
-            row, pair = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, pairs))
-            order = np.argsort(pair, kind="stable")
-            order = order[np.argsort(row[order], kind="stable")]
-            row, pair = row[order], pair[order]
-            start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(pair, prepend=-1) != 0))
-            packed = (pair[start] << TIMES) | np.diff(start, append=len(row))
-            ends = np.searchsorted(row[start], np.arange(len(texts) + 1)).astype(np.int32)
+                groups, *parts = meet(a, b, list(map(name.__getitem__, ids)), list(map(name.__getitem__, pieces)))
+                left, right = linked(*parts)
+                counts[:, k] = len(ids), len(pieces), len(groups), len(left)
+                digests.append(hashlib.sha256(";".join(groups).encode()).hexdigest())
+                held.append((k << PAIR) | (np.array(ids, np.int64)[left] * len(bytes_b) + np.array(pieces, np.int64)[right]))
+            held = np.sort(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            start = np.flatnonzero(np.diff(held, prepend=-1))
+            packed = ((held[start] & ((1 << PAIR) - 1)) << TIMES) | np.diff(start, append=len(held))
+            ends = np.searchsorted(held[start] >> PAIR, np.arange(len(texts) + 1)).astype(np.int32)
             links = pa.ListArray.from_arrays(pa.array(ends), pa.array(packed))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, counts), pa.array(digests, pa.string()), links], list(names[:-1]))
 
@@ -199,7 +196,7 @@ def align(docs: DataFrame, first: str, second: str, head: int = HEAD) -> DataFra
     on the driver, whose contents are sent to the tasks (their size does not depend on the data)."""
     files = [Path(path).read_bytes() for path in (first, second)]
     bytes_a, bytes_b = first_tokenizer(files[0])[1], second_tokenizer(files[1])[1]
-    if len(bytes_a) * len(bytes_b) > 1 << (63 - TIMES):
+    if len(bytes_a) * len(bytes_b) > 1 << PAIR:
         raise ValueError("the two vocabularies have too many pairs of ids for one 64-bit number with a count")
     names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *free_names(docs.select("doc_id"), "links", "key"))
     found = aligned(docs, docs.sparkSession.sparkContext.broadcast(files), names)

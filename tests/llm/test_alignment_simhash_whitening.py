@@ -92,13 +92,14 @@ def test_stretches_and_links_match_plain_cuts():
         total = random.randint(1, 60)
         shared = {x for x in range(1, total) if random.random() < random.choice([0.1, 0.9])}
         a, b = (sorted({*shared, total, *(x for x in range(1, total) if random.random() < 0.15)}) for _ in range(2))
-        parts = token_alignment.stretches(a, b)
-        assert [p[0] for p in parts] == [0, *(p[1] for p in parts[:-1])] and parts[-1][1::2] == (len(a), len(b))
-        left, right, groups = token_alignment.linked(a, b, parts)
-        assert groups == len(set(a) & set(b))
+        groups, runs, *rest = token_alignment.meet(a, b, [f"a{e}" for e in a], [f"b{e}" for e in b])
+        left, right = token_alignment.linked(runs, *rest)
+        shared = sorted(set(a) & set(b))
+        within = lambda ends, mark: [",".join(f"{mark}{e}" for e in ends if low < e <= high) for low, high in zip([0, *shared], shared, strict=False)]
+        assert groups == list(map("|".join, zip(within(a, "a"), within(b, "b"), strict=True)))
         starts = lambda ends: [0, *ends[:-1]]
         want = [(i, j) for i, (s, e) in enumerate(zip(starts(a), a, strict=True)) for j, (t, f) in enumerate(zip(starts(b), b, strict=True)) if s < f and t < e]
-        assert sorted(zip(left, right, strict=True)) == want
+        assert sorted(zip(left.tolist(), right.tolist(), strict=True)) == want
 
 
 @pytest.mark.parametrize("head", [0, 3, 1 << 17])
@@ -112,6 +113,21 @@ def test_alignment_matches_brute_force(spark, head):
     assert any(0 < row[5] < row[4] for row in want)
 
 
+def test_both_ways_to_the_first_tokens_agree():
+    """The quick way, taken for a file whose ids are ranks, against the library of the file, over all characters and their neighbours."""
+    with open(FIRST, "rb") as f:
+        stored = f.read()
+    quick, whole = token_alignment.first_tokenizer(stored)[0], Tokenizer.from_buffer(stored)
+    whole.encode_special_tokens = True
+    shown = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    differ = []
+    for start in range(0, len(shown), 256):
+        text = "".join(f"a{c} {c}b1{c}{c}  {c}\n" for c in shown[start : start + 256])
+        if quick(text) != whole.encode(" " + text, add_special_tokens=False).ids:
+            differ.append(start)
+    assert not differ
+
+
 def test_alignment_of_odd_rows(spark, odd, none):
     got = aligned_rows(odd)
     assert len(got) == len(odd_rows()) and token_alignment.align(none, FIRST, SECOND).count() == 0
