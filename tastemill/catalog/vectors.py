@@ -179,6 +179,20 @@ def user_profile_weighted(spark: SparkSession, d: str) -> DataFrame:
     return _long(profiles.weighted_profile(b.click_interactions(spark, d), rows, v.vector_size(rows, "vector")), "user_id")
 
 
+@query("user_profile_gaps", f"""WITH {b.SQL_VECTORS}, {b.SQL_CLICK_INTER}, own AS (SELECT user_id, strength AS w, vector FROM cinter JOIN vectors USING (item_id) WHERE item_id % 5 <> 0 AND item_id % 7 <> 0),
+sums AS (SELECT user_id, sum(w * vector[1]) / sum(w) AS first, sum(w * vector[len(vector)]) / sum(w) AS last FROM own GROUP BY user_id)
+SELECT user_id, unnest([64, 128])::INTEGER AS width, round(first, 6) + 0.0 AS first, round(last, 6) + 0.0 AS last FROM sums""")
+def user_profile_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted means at two widths where a fifth of the items lost its weight and a seventh an entry of its vector: these take no part."""
+    gap = lambda x, i: F.when((i != 3) | (F.col("item_id") % 7 != 0), x)
+    rows = b.item_vectors(spark, d).select("item_id", F.transform("vector", gap).alias("vector"))
+    history = b.click_interactions(spark, d).select("user_id", "item_id", F.when(F.col("item_id") % 5 != 0, F.col("strength")).alias("strength"))
+    wide = rows.select("item_id", F.concat("vector", "vector").alias("vector"))
+    found = [v.mean_vectors(history.join(table, "item_id"), ["user_id"], "vector", width, "vector", weight="strength").withColumn("width", F.lit(width)) for table, width in ((rows, 64), (wide, 128))]
+    shown = found[0].unionByName(found[1])
+    return shown.select("user_id", "width", rounded(F.element_at("vector", 1)).alias("first"), rounded(F.element_at("vector", -1)).alias("last"))
+
+
 def _sql_profile_topk(profiles_sql: str, score: str, shown: str = "TRUE") -> str:
     return f"""WITH {profiles_sql}, scored AS (SELECT a.user_id, b.item_id, {score} AS s FROM profiles a CROSS JOIN vectors b
 WHERE NOT EXISTS (SELECT 1 FROM cinter c WHERE c.user_id = a.user_id AND c.item_id = b.item_id) AND {shown})

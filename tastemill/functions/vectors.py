@@ -65,9 +65,10 @@ def sum_vectors(df: DataFrame, keys: list[str], column: str, dim: int, out: str,
 def mean_vectors(df: DataFrame, keys: list[str], column: str, dim: int, out: str, weight: str | None = None) -> DataFrame:
     """(Weighted) mean vector per key: the sum of the weighted vectors over the sum of the weights, for any width and sign.
 
-    Null where the weights add up to 0."""
+    Rows without a weight or a vector, or whose vector has a gap, take no part, at any width. Null where the weights add up to 0."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    scaled = df.withColumn("_scaled", F.transform(F.col(column).cast("array<double>"), lambda x: x * w))
+    whole = df.where(w.isNotNull() & F.col(column).isNotNull() & ~F.exists(column, lambda x: x.isNull()))
+    scaled = whole.withColumn("_scaled", F.transform(F.col(column).cast("array<double>"), lambda x: x * w))
     scaled = sum_vectors(scaled, keys, "_scaled", dim, "_sum", F.sum(w).alias("_weight"))
     mean = F.when(F.col("_weight") != 0, F.transform("_sum", lambda x: x / F.col("_weight")))
     return scaled.select(*keys, mean.alias(out))

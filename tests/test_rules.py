@@ -165,6 +165,9 @@ def test_sums_and_means(spark, dim):
     assert sum_vectors(df, ["k"], "v", dim, "s").first()["s"] == pytest.approx([6.0] * dim)
     assert mean_vectors(df, ["k"], "v", dim, "m").first()["m"] == pytest.approx([3.0] * dim)
     assert mean_vectors(df, ["k"], "v", dim, "m", "w").first()["m"] == pytest.approx([4.0] * dim)
+    gaps = [("k", None, [9.0] * dim), ("k", 2.0, None), ("k", 2.0, [None] + [9.0] * (dim - 1)), ("none", None, [1.0] * dim), ("zero", 1.0, [1.0] * dim), ("zero", -1.0, [2.0] * dim)]
+    got = {r.k: r.m for r in mean_vectors(spark.createDataFrame(rows + gaps, df.schema), ["k"], "v", dim, "m", "w").collect()}
+    assert got["k"] == pytest.approx([4.0] * dim) and got["zero"] is None and set(got) == {"k", "zero"}
 
 
 def test_interaction_matrix(spark):
