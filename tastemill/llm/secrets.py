@@ -103,7 +103,9 @@ def scan(paths: DataFrame, rules: Sequence[Rule] = RULES, ledger: str | None = N
     noted = chosen.select("blob", F.explode("todo").alias("pair")).select("blob", F.substring_index("pair", ":", 1).alias("rule"), F.substring_index("pair", ":", -1).cast("int").alias("version"), F.lit(run).alias("run"))
     noted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{ledger}/scanned")
     wanted = F.concat_ws(":", "rule", "version").isin([f"{r.name}:{r.version}" for r in rules])
-    findings = spark.read.schema(findings_type).parquet(f"{ledger}/findings").where(wanted).drop("run")
+    findings = spark.read.schema(findings_type).parquet(f"{ledger}/findings").where(wanted)
+    # A run that was stopped between the two writes has left findings whose pairs the next one scans again: each counts once.
+    findings = findings.select("blob", "rule", "version", "start", "end").distinct()
     return known, findings.join(known.select("blob").distinct(), "blob", "left_semi")
 
 

@@ -218,6 +218,15 @@ def test_secret_spans(spark):
         assert set(want.split(",")) - {""} <= set(spans.split(","))
 
 
+def test_ledger_counts_once_after_a_stop(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "password = abcdefgh12"), (2, "nothing"), (3, "password = abcdefgh12")], "doc_id bigint, text string")
+    first = rows(secrets.report(docs, ledger=ledger, run="1"), "doc_id", "n_assign", "spans")
+    (tmp_path / "ledger" / "scanned").rename(tmp_path / "lost")  # as if the first run had stopped before it noted its pairs
+    assert rows(secrets.report(docs, ledger=ledger, run="2"), "doc_id", "n_assign", "spans") == first
+    assert [r[1] for r in first] == [1, 0, 1]
+
+
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     first = spark.createDataFrame([(1, "password=abcdefgh12"), (2, "nothing")], "doc_id bigint, text string")
