@@ -41,14 +41,15 @@ def test_run_is_the_stages_in_order(spark):
 
 
 def test_passages_of_over_fifty_words_go(spark):
-    """Short and long words, a passage that two documents share and one that stands twice in the same; a shared sentence stays."""
+    """A passage that two documents share, and one that stands twice in the same; a shared sentence stays."""
     rng = random.Random(6)
     word = lambda least, most: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(least, most)))
     text = lambda n, least=2, most=9: " ".join(word(least, most) for _ in range(n))
-    short, long, sentence = text(55, 2, 5), text(55, 4, 12), text(20)
+    short, long, sentence = text(51, 3, 8), text(51, 4, 12), text(20)
     rows = [(1, f"{text(40)} {short} {text(40)}"), (2, f"{text(10)} {short} {text(70)}"), (3, f"{long} {text(30)} {long}"), (4, f"{text(60)} {sentence} {text(30)}"), (5, f"{sentence} {text(60)}"), (6, None), (7, "")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, extra string")
     kept = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["suffix_array_dedup"](spark, docs, ROOT).collect()}
+    assert len(short) > corpus_pipeline.PASSAGE
     assert all(short[20:-20] not in kept[i] for i in (1, 2)) and long[20:-20] not in kept[3]
     assert kept[4] == rows[3][1] and kept[5] == rows[4][1] and set(kept) == set(range(1, 8))
 
