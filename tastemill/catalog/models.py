@@ -219,6 +219,16 @@ def trials(spark: SparkSession, d: str) -> DataFrame:
     return search.trials_frame(spark).select("trial_id", "params", rounded(F.col("score")).alias("score"))
 
 
+@query("search_text_model", """SELECT 3::BIGINT AS n_trials, 3::BIGINT AS n_params, true AS scored, true AS best_is_highest""")
+def search_text_model(spark: SparkSession, d: str) -> DataFrame:
+    """The whole grid of field weights of the text model, each judged on the last items of all users."""
+    inter, _ = inputs(spark, d)
+    search = training.ParameterSearch("text_embedding", "hr@20", n_trials=3)
+    search.run(*training.split_interactions(inter, "last", n=3), training.SEARCH_SPACES["text_embedding"], fixed={"embedding_dim": 64}, items=b.items(spark, d))
+    told = search.trials_frame(spark).agg(F.count("*").alias("n_trials"), F.countDistinct("params").alias("n_params"), F.every(F.col("score").between(0, 1)).alias("scored"), F.max("score").alias("best"))
+    return told.select("n_trials", "n_params", "scored", (F.col("best") == search.best_value).alias("best_is_highest"))
+
+
 @query("best_trial", """WITH t AS (SELECT CAST(row_number() OVER (ORDER BY p_brand, p_type) AS INTEGER) AS trial_id, p_brand || '/' || p_type AS params, avg(p_size) AS score FROM part GROUP BY p_brand, p_type)
 SELECT trial_id, params, round(score, 6) + 0.0 AS score FROM t ORDER BY t.score DESC, trial_id LIMIT 1""")
 def best_trial(spark: SparkSession, d: str) -> DataFrame:

@@ -52,6 +52,7 @@ def explain_rows(rows: DataFrame, weights: dict[str, float] | None = None) -> Da
     weights = weights or RECOMMEND_WEIGHTS
     part = {name: F.round(F.lit(w) * F.col(name), 9) for name, w in weights.items()}
     top = F.greatest(*part.values())
+    # The first two sentences.
     text = (
         F.when(part["relevance"] == top, F.lit("Recommended based on your interests"))
         .when(part["diversity"] == top, F.concat(F.lit("Adding variety with this "), F.coalesce("category", F.lit("other")), F.lit(" item")))

@@ -200,6 +200,14 @@ def test_skipgram_in_tiles(spark, monkeypatch):
     assert again.keys() == vectors.keys() and all(np.allclose(again[i], vectors[i], atol=1e-4) for i in vectors)
 
 
+def test_search_over_the_text_model(spark, inter, items, tmp_path):
+    search = training.ParameterSearch("text_embedding", "hr@3", n_trials=3)
+    best = search.run(*training.split_interactions(inter), training.SEARCH_SPACES["text_embedding"], fixed={"embedding_dim": 64}, items=items)
+    assert [t[0] for t in search.trials] == [0, 1, 2] and best["field_weights"] in training.SEARCH_SPACES["text_embedding"]["field_weights"]
+    search.refit(inter, items, f"{tmp_path}/best")
+    assert load_model(spark, f"{tmp_path}/best").params["field_weights"] == best["field_weights"]
+
+
 def test_text_model_and_cache(inter, items):
     model = TextEmbeddingModel(embedding_dim=256).fit(None, items)
     assert taste(check_lists(model.recommend(inter.select("user_id"), inter, 3), inter, 3)) > 0.9
