@@ -8,10 +8,11 @@ sets link when their Jaccard similarity is at least 0.8; the result names the co
    tables of a million cells, whatever the size of the corpus; they tell which shingles are frequent.
 2. A token order sorts shingles by frequency class (frequent last), then by a hash of its own. Under any such order two sets that
    link share a shingle among the first ``n - ceil(0.8 n) + 1`` of each. The first order's prefixes are dealt by shingle, which gives
-   the buckets; a pair must also meet in the prefixes under the second and third order before its sets are compared.
+   the buckets, with the place that the shingle has in the set; a pair must also meet in the prefixes under the second and third order before its sets are compared.
 3. Only components are asked for, so a bucket need not be paired out. In each round the classes of a bucket are tried against one of them (another one each
    round) where both share enough buckets to look promising and are not in one component yet; buckets whose classes are all in one component are done. When
-   few pairs are left, or after ``STAR_ROUNDS`` rounds, all pairs of different components that share enough of their prefixes are tried, so no link between components is lost.
+   few pairs are left, or after ``STAR_ROUNDS`` rounds, all pairs of different components are tried that have room for a link behind their first common shingle and whose
+   prefixes have it under every order. The orders are intersected on the prefixes alone; texts are fetched for the pairs that are left. No link between components is lost.
 
 Hashes have 64 bits. With N classes two different sets share a fingerprint with a probability below N * N / 2**65.
 
@@ -85,15 +86,15 @@ def cells_of(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (token & np.uint64(CELLS - 1)).astype(np.int64), ((token >> np.uint64(20)) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def prefixes(row: np.ndarray, token: np.ndarray, size: np.ndarray, ranks: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and shingle of the prefixes under one order."""
+def prefixes(row: np.ndarray, token: np.ndarray, size: np.ndarray, ranks: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, shingle and place of the prefixes under one order."""
     low, high = cells_of(token)
     rank = np.minimum(ranks[0][low], ranks[1][high]).astype(np.uint64)
     key = (rank << np.uint64(58)) | (mixed(token ^ np.uint64(ORDERS[order])) >> np.uint64(6))
     row, _, token = by_row(row, key, token)
-    first = np.cumsum(size) - size
-    keep = np.arange(len(row)) - first[row] <= size[row] // 5
-    return row[keep], token[keep]
+    place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+    keep = place <= size[row] // 5
+    return row[keep], token[keep], place[keep]
 
 
 def fingerprint(row: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
@@ -145,7 +146,7 @@ def frequency_ranks(described: DataFrame) -> np.ndarray:
 
 
 def first_prefixes(docs: DataFrame, ranks: Broadcast) -> DataFrame:
-    """(token, node, n): prefixes under the first order, each set once per slice of a task's input."""
+    """(token, node, n, place): prefixes under the first order, each set once per slice of a task's input."""
 
     def run(batches):
         roll = Rolling(fold_case=True)
@@ -154,12 +155,42 @@ def first_prefixes(docs: DataFrame, ranks: Broadcast) -> DataFrame:
             node = fingerprint(row, token, batch.num_rows)
             once = np.zeros(len(node), bool)
             once[np.unique(node, return_index=True)[1]] = True
-            row, token = prefixes(row, token, size, ranks.value, 0)
+            row, token, place = prefixes(row, token, size, ranks.value, 0)
             keep = once[row]
-            row, token = row[keep], token[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(node[row]), pa.array(size[row].astype(np.int32))], ["token", "node", "n"])
+            row, token, place = row[keep], token[keep], place[keep]
+            columns = [token.view(np.int64), node[row], size[row].astype(np.int32), place.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "place"])
 
-    return spread(docs.select("doc_id", "text"), "doc_id").select("text").mapInArrow(run, "token bigint, node bigint, n int")
+    return spread(docs.select("doc_id", "text"), "doc_id").select("text").mapInArrow(run, "token bigint, node bigint, n int, place int")
+
+
+def order_prefixes(texts: DataFrame, ranks: Broadcast) -> DataFrame:
+    """(node, n, p0, p1, ...): each class's prefix under every order."""
+    names = [f"p{order}" for order in range(len(ORDERS))]
+
+    def run(batches):
+        roll = Rolling(fold_case=True)
+        for batch in sliced(batches, "text", SLICE):
+            row, token, size = sets_of(batch.column("text"), roll)
+            lists = []
+            for order in range(len(ORDERS)):
+                at, value, _ = prefixes(row, token, size, ranks.value, order)
+                ends = np.searchsorted(at, np.arange(batch.num_rows + 1)).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64))))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size.astype(np.int32)), *lists], ["node", "n", *names])
+
+    return texts.select("node", "text").mapInArrow(run, f"node bigint, n int, {', '.join(f'{name} array<bigint>' for name in names)}")
+
+
+def through_orders(pairs: DataFrame, texts: DataFrame, ranks: Broadcast) -> DataFrame:
+    """The (a, b) pairs whose prefixes leave room for a link under every order. Only prefixes travel here, no texts."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+    held = order_prefixes(texts.join(ends, F.col("node") == F.col("of"), "left_semi"), ranks)
+    side = lambda s: held.select(*(F.col(c).alias(f"{c}_{s}") for c in held.columns))
+    met = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
+    for order in range(len(ORDERS)):
+        met = met.withColumn("k", F.size(F.array_intersect(f"p{order}_a", f"p{order}_b"))).where((F.col("k") > 0) & enough("k", "n_a", "n_b"))
+    return met.select("a", "b")
 
 
 def similar(pairs: DataFrame, ranks: Broadcast) -> DataFrame:
@@ -181,7 +212,7 @@ def similar(pairs: DataFrame, ranks: Broadcast) -> DataFrame:
                     sides = []
                     for row, token, size in (left, right):
                         keep = passed[row]
-                        sides.append(prefixes(row[keep], token[keep], np.where(passed, size, 0), ranks.value, order))
+                        sides.append(prefixes(row[keep], token[keep], np.where(passed, size, 0), ranks.value, order)[:2])
                     passed &= common(*sides, n) > 0
                 x, y = ((row[passed[row]], token[passed[row]]) for row, token, _ in (left, right))
                 both = common(x, y, n)
@@ -202,6 +233,20 @@ def enough(k: str, n: str, m: str):
     return F.col(k) + F.greatest(rest(n), rest(m)) >= F.expr(f"(4 * ({n} + {m}) + 8) div 9")
 
 
+def first_contacts(rows: DataFrame) -> DataFrame:
+    """(a, b) of the classes of different components that can be linked by what stands before their first common shingle.
+
+    A link needs ``need`` common shingles, and all of them stand at or behind the first one, in either set. The smaller set of a linked pair holds the first one among
+    its first ninth, so that only those rows look for partners; copies that differ from all others by more shingles of their own than that do not meet at all.
+    """
+    x, y = (rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "root"))) for s in "ab")
+    x = x.where("(n_a - place_a) * 9 >= 8 * n_a")
+    smaller = F.expr("n_a < n_b OR (n_a = n_b AND node_a < node_b)")
+    room = F.expr("least(n_a - place_a, n_b - place_b) * 9 >= 4 * (n_a + n_b)")
+    met = x.join(y, (x.token == y.token) & (F.col("root_a") != F.col("root_b")) & smaller & room)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) after each root went over to the smallest root it has a link with. Equal roots mean one component; the reverse is settled at the end."""
     end = lambda side: labels.select(F.col("node").alias(f"of_{side}"), F.col("root").alias(f"root_{side}"))
@@ -245,10 +290,7 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
         last = step == STAR_ROUNDS or pairs <= PAIRS_PER_ROW * size or (before is not None and pairs > 0.8 * before)
         before = pairs
         if last:
-            x, y = (current.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "ab")
-            met = x.join(y, (x.token == y.token) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b")) & close_in_size("n_a", "n_b"))
-            met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-            tried = met.where(enough("k", "n_a", "n_b"))
+            tried = checkpointed(through_orders(checkpointed(first_contacts(current)), texts, ranks))
         else:
             met = current.where((F.col("root") != F.col("hub.root")) & close_in_size("n", "hub.n"))
             met = met.groupBy(F.least("node", F.col("hub.node")).alias("a"), F.greatest("node", F.col("hub.node")).alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
@@ -259,7 +301,7 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
         if last:
             break
         labels = hooked(rows.select("node").distinct().withColumn("root", F.col("node")) if labels is None else labels, links)
-        rows = current.select("token", "node", "n", "common")
+        rows = current.select("token", "node", "n", "place", "common")
     return components(links)
 
 

@@ -127,6 +127,43 @@ def test_join_matches_brute_force(spark, monkeypatch, rounds, per_row):
     assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute_components(docs)
 
 
+def test_unlinked_copies_do_not_meet(spark):
+    """Copies with more shingles of their own than a link allows share frequent shingles in one bucket, but make no pairs."""
+    random.seed(5)
+    base = [f"w{i}" for i in range(104)]
+    docs = []
+    for i in range(300):
+        changed = {random.randrange(5, 30), random.randrange(40, 60), random.randrange(70, 95)}
+        docs.append((i, " ".join(f"own{i}x{j}" if j in changed else w for j, w in enumerate(base))))
+    docs += [(1000, " ".join(base)), (1001, " ".join(["new", *base[1:]]))]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    described = shingle_join.describe(frame)
+    ranks = spark.sparkContext.broadcast(shingle_join.frequency_ranks(described))
+    rows = shingle_join.first_prefixes(frame, ranks).withColumn("root", F.col("node"))
+    crowded = rows.groupBy("token").count().where("count > 100").count()
+    pairs = shingle_join.first_contacts(rows)
+    assert crowded > 0 and pairs.count() < 10
+    texts = described.where("n > 0").select("doc_id", "node").join(frame, "doc_id")
+    left = shingle_join.through_orders(pairs, texts, ranks)
+    nodes = {r.doc_id: r.node for r in texts.select("doc_id", "node").collect()}
+    assert {frozenset(r) for r in left.collect()} == {frozenset([nodes[1000], nodes[1001]])}
+    got = shingle_join.classify(frame).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_components(docs)
+
+
+def test_first_contacts_hold_every_link(spark):
+    docs = near_copies(240, 9)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    described = shingle_join.describe(frame)
+    ranks = spark.sparkContext.broadcast(shingle_join.frequency_ranks(described))
+    rows = shingle_join.first_prefixes(frame, ranks).dropDuplicates(["token", "node"]).withColumn("root", F.col("node"))
+    one = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(frame, "doc_id")
+    found = {frozenset(r) for r in shingle_join.through_orders(shingle_join.first_contacts(rows), one, ranks).collect()}
+    sets = {r.node: shingles(r.text) for r in one.collect()}
+    links = {frozenset([a, b]) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(links) > 100 and links <= found
+
+
 def test_join_odd_rows(odd, none):
     docs = [(r[0], r[1]) for r in odd_rows()]
     assert sorted((tuple(r) for r in shingle_join.classify(odd).select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute_components(docs)
