@@ -182,10 +182,15 @@ def order_prefixes(texts: DataFrame, ranks: Broadcast) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, f"node bigint, n int, {', '.join(f'{name} array<bigint>' for name in names)}")
 
 
+def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The classes that are an end of a pair. Their numbers are stored, so that the optimizer sees whether they are few and the other texts need not travel."""
+    ends = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct())
+    return texts.join(ends, F.col("node") == F.col("of"), "left_semi")
+
+
 def through_orders(pairs: DataFrame, texts: DataFrame, ranks: Broadcast) -> DataFrame:
     """The (a, b) pairs whose prefixes leave room for a link under every order. Only prefixes travel here, no texts."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
-    held = order_prefixes(texts.join(ends, F.col("node") == F.col("of"), "left_semi"), ranks)
+    held = order_prefixes(texts_of(pairs, texts), ranks)
     side = lambda s: held.select(*(F.col(c).alias(f"{c}_{s}") for c in held.columns))
     met = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
     for order in range(len(ORDERS)):
@@ -260,8 +265,8 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(frequency_ranks(described))
     dealt = first_prefixes(docs, ranks).repartition("token").dropDuplicates(["token", "node"])
-    # The largest set is asked for so that both readers of the exchange want the same columns, and it is made once.
-    shared = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.max("n").alias("largest")).where("many > 1 AND largest > 0").select(F.col("token").alias("t"))
+    # The largest set and place are asked for so that both readers of the exchange want the same columns, and it is made once.
+    shared = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.max("n").alias("largest"), F.max("place").alias("deepest")).where("many > 1 AND largest > 0 AND deepest >= 0").select(F.col("token").alias("t"))
     rows = checkpointed(dealt.join(shared, F.col("token") == F.col("t"), "left_semi"))
     # How few of a prefix's shingles stand in no other set: near copies differ from what they were made of by shingles of their own, so sets
     # without such make the best partners for the others.
@@ -290,13 +295,15 @@ def linked_sets(docs: DataFrame, described: DataFrame) -> DataFrame:
         last = step == STAR_ROUNDS or pairs <= PAIRS_PER_ROW * size or (before is not None and pairs > 0.8 * before)
         before = pairs
         if last:
-            tried = checkpointed(through_orders(checkpointed(first_contacts(current)), texts, ranks))
+            tried = through_orders(checkpointed(first_contacts(current)), texts, ranks)
         else:
             met = current.where((F.col("root") != F.col("hub.root")) & close_in_size("n", "hub.n"))
             met = met.groupBy(F.least("node", F.col("hub.node")).alias("a"), F.greatest("node", F.col("hub.node")).alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n"))
             tried = met.where("k * 20 >= n")  # only where it looks promising: what is passed over here is met in the last round
-        side = lambda s: texts.select(F.col("node").alias(f"of_{s}"), F.col("text").alias(f"text_{s}"))
-        joined = tried.select("a", "b").join(side("a"), F.col("a") == F.col("of_a")).join(side("b"), F.col("b") == F.col("of_b"))
+        tried = checkpointed(tried.select("a", "b"))
+        held = texts_of(tried, texts)
+        side = lambda s: held.select(F.col("node").alias(f"of_{s}"), F.col("text").alias(f"text_{s}"))
+        joined = tried.join(side("a"), F.col("a") == F.col("of_a")).join(side("b"), F.col("b") == F.col("of_b"))
         links = checkpointed(links.unionByName(similar(joined, ranks)))
         if last:
             break
