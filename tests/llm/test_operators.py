@@ -511,6 +511,56 @@ def test_random_edits_up_to_a_fifth_match_brute_force(spark):
     assert {i: got[i].n_spans > 0 for i in want} == want and sum(want.values()) >= 10
 
 
+def covered(spark, docs):
+    return {r.doc_id: r for r in chaining.report(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")).collect()}
+
+
+@pytest.mark.parametrize("setting", ["other_holders", "other_places"])
+def test_passages_of_parts_that_stand_elsewhere_first(spark, setting):
+    random.seed(8)
+    word = lambda n: [f"v{random.randint(0, 10**7)}" for _ in range(n)]
+    docs = []
+    for k in range(10):
+        whole, base = word(60), 100 * k
+        if setting == "other_holders":
+            docs += [(base + i, word(20) + whole[:32] + word(20)) for i in (1, 2)] + [(base + i, word(20) + whole[29:] + word(20)) for i in (3, 4)]
+            docs += [(base + i, word(20) + whole + word(20)) for i in (10, 20)]
+        else:
+            docs += [(base + 10, word(9) + whole[29:] + word(70) + whole[:32] + word(90) + whole + word(5)), (base + 20, word(30) + whole + word(30))]
+    got = covered(spark, docs)
+    for k in range(10):
+        row = got[100 * k + 20]
+        assert row.n_spans == 1 and 60 <= row.n_covered <= 64 and 100 * k + 10 in row.sources
+    assert sum(r.n_covered > 0 for r in got.values()) == 10
+
+
+def test_every_exact_repeat_is_covered(spark):
+    """Few different parts in every order, so that most seeds are in many documents and places; against a search of all 50-word strings."""
+    random.seed(9)
+    parts = [[f"p{k}w{i}" for i in range(random.randint(3, 25))] for k in range(14)]
+    docs = [(i, [w for _ in range(random.randint(2, 14)) for w in random.choice(parts)]) for i in range(120)]
+    first, want = {}, {}
+    for i, words in docs:
+        want[i] = set()
+        for at in range(len(words) - 49):
+            if first.setdefault(tuple(words[at : at + 50]), i) < i:
+                want[i].update(range(at, at + 50))
+    got = covered(spark, docs)
+    for i, _ in docs:
+        held = {x for span in filter(None, got[i].spans.split(",")) for x in range(*map(int, span.split(":")))}
+        assert want[i] <= held
+    assert sum(map(len, want.values())) > 500
+
+
+def test_copies_are_covered_whole(spark):
+    random.seed(10)
+    words = [f"c{random.randint(0, 10**7)}" for _ in range(70)]
+    docs = [(1, words), (2, words), (3, words), (4, words[:49]), (5, words[:49]), (6, words[:30] + ["x"] + words[31:])]
+    got = covered(spark, docs)
+    assert [got[i].spans for i in range(1, 7)] == ["", "0:70", "0:70", "", "", "0:70"]
+    assert got[3].sources == [1] and got[6].sources == [1]
+
+
 def test_chains_match_quadratic_search():
     random.seed(1)
     for _ in range(200):
