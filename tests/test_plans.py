@@ -1,12 +1,14 @@
 """Distributed plans against brute force, with hot keys that force the split paths."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tastemill.operators.ann import as_items, as_queries
 from tastemill.operators.gram import cosine_neighbours, item_gram
 from tastemill.operators import sequences
+from tastemill.plans import topk
 from tastemill.plans.ordered import chunk_scan, dense_index
 from tastemill.plans.skew import salted_join
 from tastemill.plans.topk import blocked_topk, rank_items, rank_lists, sparse_topk, unseen_heads
@@ -159,6 +161,39 @@ def test_blocked_topk_in_a_hot_cell(spark):
         assert [got[(str(i), n + 1)] for n in range(5)] == [f"i{j:02d}" for j in want]
 
 
+def test_blocked_topk_sends_a_vector_to_few_blocks(spark, monkeypatch):
+    def counting(k, metric, out_schema):
+        def rows_met(queries, items):
+            return pa.table([[queries.num_rows], [items.num_rows], [1.0]], schema=out_schema)
+
+        return rows_met
+
+    monkeypatch.setattr(topk, "_block_search", counting)
+    rows = spark.range(100_000).select(F.col("id").alias("item_id"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0)).alias("vector"))
+    met = blocked_topk(as_queries(rows), as_items(rows), 1000).agg(F.sum("query_id"), F.sum("item_id")).first()
+    assert met[0] >= 100_000 and met[1] >= 100_000 and sum(met) <= 20 * 100_000
+
+
+@pytest.mark.parametrize("width", [4, 100])
+def test_blocked_topk_over_several_tiles(spark, width, monkeypatch):
+    rng = np.random.default_rng(5)
+    q, v = rng.integers(-3, 4, (40, width)).astype(float), rng.integers(-3, 4, (500, width)).astype(float)  # with many ties
+    out = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64())])
+    monkeypatch.setattr(topk, "TILE_QUERIES", 16)
+    monkeypatch.setattr(topk, "TILE_ITEMS", 32)
+    ids = [0, 0, *range(2, 40)]  # a query that stands twice
+    marks = [(0, j) for j in range(0, 500, 2)] + [(7, j) for j in range(495)]
+    none = pa.nulls(len(marks), pa.list_(pa.float64()))
+    asked = pa.table({"query_id": ids + [m[0] for m in marks], "query_vector": pa.concat_arrays([pa.array(q.tolist()), none]), "seen_item": [None] * 40 + [m[1] for m in marks]})
+    got = topk._block_search(6, "inner_product", out)(asked, pa.table({"item_id": range(500), "item_vector": v.tolist()})).to_pandas()
+    want = []
+    for row, query in enumerate(ids):
+        scores = q[row] @ v.T
+        free = [j for j in range(500) if (query, j) not in set(marks)]
+        want += [(query, j, scores[j]) for j in sorted(free, key=lambda j: (-scores[j], j))[:6]]
+    assert [tuple(r) for r in got.itertuples(index=False)] == want
+
+
 def test_fewer_items_than_k(spark):
     vs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "item_id bigint, vector array<double>")
     assert blocked_topk(as_queries(vs), as_items(vs), 10).count() == 9
