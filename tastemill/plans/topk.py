@@ -232,6 +232,8 @@ def unseen_heads(users: DataFrame, seen: DataFrame, ranking: DataFrame, k: int,
     listed = "list_id" in ranking.columns
     key = ["list_id"] if listed else []
     users = users.select("user_id", *key).distinct()
+    # Rankings of many lists compress so well that their files look small enough to send to all tasks.
+    ranking = ranking.hint("merge") if listed else ranking
     places = ranking.select(*key, "item_id", "item_rank")
     pairs = seen.select("user_id", "item_id")
     marked = pairs.join(users, "user_id").join(places, ["list_id", "item_id"]) if listed else pairs.join(places, "item_id").join(users, "user_id")

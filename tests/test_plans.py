@@ -126,6 +126,16 @@ def test_unseen_heads_of_lists(spark, rows, inter):
     assert got == want
 
 
+def test_rankings_of_many_lists_are_not_broadcast(spark):
+    ranking = spark.range(20).select(F.lit("a").alias("list_id"), F.col("id").alias("item_id"), (F.col("id") + 1).alias("item_rank"))
+    users = spark.createDataFrame([(1, "a"), (2, "a")], "user_id bigint, list_id string")
+    heads = unseen_heads(users, spark.createDataFrame([(1, 0)], "user_id bigint, item_id bigint"), ranking, 3)
+    plan = heads._jdf.queryExecution().executedPlan().toString()
+    last = next(line for line in plan.splitlines() if "Join [" in line)
+    assert "SortMergeJoin" in last and "item_rank" in last
+    assert {(r["user_id"], r["item_id"]) for r in heads.collect()} == {(1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2)}
+
+
 @pytest.mark.parametrize("metric", ["inner_product", "cosine", "l2"])
 @pytest.mark.parametrize("masked", [False, True])
 def test_blocked_topk(spark, metric, masked):
