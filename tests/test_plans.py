@@ -240,6 +240,32 @@ def test_cosine_neighbours(rows, inter):
         assert np.allclose([ranked[n] for n in sorted(ranked)], np.sort(cos[i][cos[i] > 0])[::-1][:4])
 
 
+@pytest.mark.parametrize("heavy", [3, 1000])
+@pytest.mark.parametrize("part_entries", [1, 40, 10_000])
+def test_cosine_neighbours_in_any_parts(rows, inter, heavy, part_entries):
+    x = dense(rows)
+    norm = np.sqrt((x * x).sum(axis=0))
+    products = x.T @ x
+    got = {}
+    for r in cosine_neighbours(inter, 4, heavy=heavy, user_block=2, item_block=8, part_entries=part_entries).collect():
+        got.setdefault(r["item_id"], []).append((r["rank"], r["other_id"], round(r["score"], 9)))
+    want = {}
+    for i in range(x.shape[1]):
+        near = sorted((j for j in range(x.shape[1]) if j != i and products[i, j] > 0), key=lambda j: (-(products[i, j] / (norm[i] * norm[j])), j))[:4]
+        if near:
+            want[i] = [(n + 1, j, round(products[i, j] / (norm[i] * norm[j]), 9)) for n, j in enumerate(near)]
+    assert {i: sorted(r) for i, r in got.items()} == want
+
+
+def test_cosine_neighbours_shuffle_no_item_pairs(spark):
+    inter = spark.createDataFrame([(u, i, 1.0) for u in range(30) for i in range(20)], "user_id bigint, item_id bigint, strength double")
+    plan = cosine_neighbours(inter, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "item_j" not in plan and "Aggregate [item_id" not in plan.split("FlatMapGroups")[0]
+    gaps = spark.createDataFrame([("u", 1, 2.0), ("u", 2, None), ("u", 3, 1.0), ("v", 1, 1.0), ("v", 3, 1.0), (None, 1, 1.0), ("v", None, 1.0)], "user_id string, item_id int, strength double")
+    got = {(r["item_id"], r["rank"]): (r["other_id"], r["score"] and round(r["score"], 6)) for r in cosine_neighbours(gaps, 3).collect()}
+    assert got == {(1, 1): (3, round(3 / 10**0.5, 6)), (1, 2): (2, None), (2, 1): (1, None), (2, 2): (3, None), (3, 1): (1, round(3 / 10**0.5, 6)), (3, 2): (2, None)}
+
+
 @pytest.mark.parametrize("heavy", [5, 1000])
 @pytest.mark.parametrize("exclude", [True, False])
 def test_sparse_topk(spark, rows, inter, heavy, exclude):
