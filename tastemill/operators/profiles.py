@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tastemill.functions.vectors import l2_normalize, mean_vectors, sum_vectors
 
+TASK_NUMBERS = 1 << 24
+
 
 def mean_profile(inter: DataFrame, item_vectors: DataFrame, dim: int) -> DataFrame:
     """Unweighted mean of the vectors of a user's items; items without a vector are left out."""
@@ -54,8 +56,12 @@ def first_available(ids: DataFrame, sources: list[tuple[str, DataFrame]], key: s
 def feature_sums(entity_features: DataFrame, embeddings: DataFrame, dim: int, entity: str = "item_id") -> DataFrame:
     """Representation of an entity as the sum of its feature vectors and biases.
 
-    ``entity_features(entity, feature, weight)``, ``embeddings(feature, vector, bias)``.
+    ``entity_features(entity, feature, weight)``, ``embeddings(feature, vector, bias)``. Few or large splits are dealt
+    anew by entity, so that the sums of a task's entities stay below ``TASK_NUMBERS`` numbers whatever the size of the table.
     """
+    parts = -(-entity_features.count() * dim // TASK_NUMBERS)
+    if parts > entity_features.rdd.getNumPartitions():
+        entity_features = entity_features.repartition(parts, entity)
     joined = entity_features.join(embeddings, "feature").withColumn("_v", F.transform("vector", lambda x: x * F.col("weight")))
     return sum_vectors(joined, [entity], "_v", dim, "vector", F.sum(F.col("bias") * F.col("weight")).alias("bias"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tastemill.operators.ann import as_items, as_queries
 from tastemill.operators.gram import cosine_neighbours, item_gram
-from tastemill.operators import sequences
+from tastemill.operators import profiles, sequences
 from tastemill.plans import topk
 from tastemill.plans.ordered import chunk_scan, dense_index
 from tastemill.plans.skew import salted_join
@@ -266,6 +266,15 @@ def test_cosine_neighbours_shuffle_no_item_pairs(spark):
     assert got == {(1, 1): (3, round(3 / 10**0.5, 6)), (1, 2): (2, None), (2, 1): (1, None), (2, 2): (3, None), (3, 1): (1, round(3 / 10**0.5, 6)), (3, 2): (2, None)}
 
 
+def test_feature_sums_of_one_large_split(spark, monkeypatch):
+    monkeypatch.setattr(profiles, "TASK_NUMBERS", 100)
+    features = spark.range(0, 300, 1, 1).select((F.col("id") % 150).alias("item_id"), F.when(F.col("id") < 150, "a").otherwise("b").alias("feature"), F.lit(2.0).alias("weight"))
+    embeddings = spark.createDataFrame([("a", [1.0, 2.0], 1.0), ("b", [3.0, 5.0], 0.5)], "feature string, vector array<double>, bias double")
+    found = profiles.feature_sums(features, embeddings, 2)
+    assert "RepartitionByExpression [item_id" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["item_id"], r["vector"], r["bias"]) for r in found.collect()) == [(i, [8.0, 14.0], 3.0) for i in range(150)]
+
+
 @pytest.mark.parametrize("heavy", [5, 1000])
 @pytest.mark.parametrize("exclude", [True, False])
 def test_sparse_topk(spark, rows, inter, heavy, exclude):
