@@ -261,9 +261,9 @@ def test_cosine_neighbours_shuffle_no_item_pairs(spark):
     inter = spark.createDataFrame([(u, i, 1.0) for u in range(30) for i in range(20)], "user_id bigint, item_id bigint, strength double")
     plan = cosine_neighbours(inter, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "item_j" not in plan and "Aggregate [item_id" not in plan.split("FlatMapGroups")[0]
-    gaps = spark.createDataFrame([("u", 1, 2.0), ("u", 2, None), ("u", 3, 1.0), ("v", 1, 1.0), ("v", 3, 1.0), (None, 1, 1.0), ("v", None, 1.0)], "user_id string, item_id int, strength double")
+    gaps = spark.createDataFrame([("u", 1, 2.0), ("u", 2, None), ("u", 3, 1.0), ("v", 1, 1.0), ("v", 3, 1.0), (None, 1, 2.0), ("v", None, 1.0)], "user_id string, item_id int, strength double")
     got = {(r["item_id"], r["rank"]): (r["other_id"], r["score"] and round(r["score"], 6)) for r in cosine_neighbours(gaps, 3).collect()}
-    assert got == {(1, 1): (3, round(3 / 10**0.5, 6)), (1, 2): (2, None), (2, 1): (1, None), (2, 2): (3, None), (3, 1): (1, round(3 / 10**0.5, 6)), (3, 2): (2, None)}
+    assert got == {(1, 1): (3, round(3 / 18**0.5, 6)), (1, 2): (2, None), (2, 1): (1, None), (2, 2): (3, None), (3, 1): (1, round(3 / 18**0.5, 6)), (3, 2): (2, None)}
 
 
 def test_feature_sums_of_one_large_split(spark, monkeypatch):
