@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from tastemill.models import skipgram, training
 from tastemill.models.als import ALSModel
 from tastemill.models.base import create_model, load_model, model_class, model_names
+from tastemill.models import ease
 from tastemill.models.ease import EASEModel, ease_weights, identity_recommend
 from tastemill.models.hybrid import HybridModel, compose, load_hybrid
 from tastemill.models.item2vec import Item2VecModel
 from tastemill.models.sgd import BPRModel, FactorSGD, FeatureFactorModel, item_feature_rows, pair_auc
 from tastemill.models.text import TextEmbeddingModel
 from tastemill.models.transitions import TransitionModel
+from tastemill.operators import gram
 from tastemill.operators.gram import item_gram
 from tastemill.operators.interactions import entity_index, negative_triples
 from tastemill.operators.profiles import first_available
@@ -132,6 +134,15 @@ def test_ease_equals_closed_form(spark, inter, matrix):
     sparse = {(r["item_id"], r["other_id"]): r["weight"] for r in ease_weights(item_gram(inter).cache(), 15, 2.0).collect()}
     assert sparse and all(abs(want[i, j] - w) < 1e-9 for (i, j), w in sparse.items())
 
+@pytest.mark.parametrize("sizes, joined_bytes, neighbours", [({}, 0, 2), ({"part_entries": 60}, 1 << 40, 6), ({"heavy": 4, "part_entries": 60}, 0, 6)])
+def test_ease_weights_without_the_gram_matrix(spark, inter, monkeypatch, sizes, joined_bytes, neighbours):
+    """From histories, by joins or by parts, with popular items and large users apart: the weights of the whole Gram matrix."""
+    gaps = inter.select("user_id", "item_id", "strength").unionByName(spark.createDataFrame([(None, 1, 2.0), (3, None, 5.0), (2, 77, 300.25)], "user_id bigint, item_id bigint, strength double"))
+    monkeypatch.setattr(gram, "JOINED_BYTES", joined_bytes)
+    monkeypatch.setattr(ease, "Histories", lambda rows: gram.Histories(rows, **sizes))
+    shown = lambda rows: sorted((r["item_id"], r["other_id"], round(r["weight"], 9)) for r in rows.collect())
+    assert shown(ease_weights(gaps, neighbours, 2.0)) == shown(ease_weights(item_gram(gaps).cache(), neighbours, 2.0))
+
 
 def test_ease_recommend(inter):
     model = EASEModel(lambda_=1.0, neighbours=7).fit(inter)
