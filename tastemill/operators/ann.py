@@ -63,7 +63,8 @@ def nearest_cells(points: DataFrame, centroids: DataFrame, vector: str, nprobe:
 
 
 class VectorIndex:
-    """Item vectors with their cell and the centroids of the cells; ``Flat`` has no cells."""
+    """Item vectors with their cell and the centroids of the cells; ``Flat`` has no cells. Vectors in cells have unit length for cosine,
+    those of ``Flat`` stay as given and get it in the blocks, because given numbers often travel as floats."""
 
     def __init__(self, vectors: DataFrame, centroids: DataFrame | None, index_type: str, metric: str, nprobe: int):
         self.vectors, self.centroids, self.index_type, self.metric, self.nprobe = vectors, centroids, index_type, metric, nprobe
@@ -76,10 +77,10 @@ class VectorIndex:
             raise ValueError(f"unknown index type {index_type}; one of {', '.join(INDEX_TYPES)}")
         metric = metric if metric in METRICS else "l2"
         vectors = _doubles(vectors)
-        if metric == "cosine":
-            vectors = vectors.withColumn("vector", l2_normalize(F.col("vector")))
         if index_type == "Flat":
             return cls(vectors, None, index_type, metric, nprobe)
+        if metric == "cosine":
+            vectors = vectors.withColumn("vector", l2_normalize(F.col("vector")))
         cells = max(1, min(nlist, vectors.count() // CELL_ROWS))
         if cells == 1:
             centroids = mean_vectors(vectors.withColumn("cell", F.lit(0)), ["cell"], "vector", vector_size(vectors, "vector"), "vector")
@@ -97,11 +98,10 @@ class VectorIndex:
 
     def search(self, queries: DataFrame, k: int = 10, seen: DataFrame | None = None) -> DataFrame:
         """Top-k per row of ``queries(query_id, query_vector)``; a query with fewer hits has fewer rows."""
-        if self.metric == "cosine":
-            queries = queries.withColumn("query_vector", l2_normalize(F.col("query_vector")))
-        metric = "l2" if self.metric == "l2" else "inner_product"
-        items = as_items(self.vectors)
+        items, metric = as_items(self.vectors), self.metric
         if self.centroids is not None:
+            if metric == "cosine":
+                queries, metric = queries.withColumn("query_vector", l2_normalize(F.col("query_vector"))), "inner_product"
             queries = nearest_cells(queries, self.centroids, "query_vector", self.nprobe)
             items = self.vectors.select("item_id", F.col("vector").alias("item_vector"), "cell")
         hits = blocked_topk(queries, items, k, metric, seen)
@@ -110,7 +110,7 @@ class VectorIndex:
     def add(self, new: DataFrame) -> VectorIndex:
         """Append ``new(item_id, vector)``; an id that is there already takes the new vector."""
         new = _doubles(new.select("item_id", "vector"))
-        if self.metric == "cosine":
+        if self.metric == "cosine" and self.centroids is not None:
             new = new.withColumn("vector", l2_normalize(F.col("vector")))
         if self.centroids is not None:
             new = nearest_cells(new, self.centroids, "vector", 1)

@@ -16,7 +16,7 @@ from tastemill.session import checkpointed
 METRICS = ("inner_product", "cosine", "l2")
 BROADCAST_RANKS = 100_000
 PIECE = 4_000_000  # products formed at a time in a block
-BLOCK_NUMBERS = 1 << 22  # numbers of the vectors of a block: 32 MB
+BLOCK_NUMBERS = 1 << 23  # numbers of the vectors of a block: 64 MB as doubles
 BLOCK_PAIRS, CELL_BLOCK_PAIRS, ITEM_BLOCKS = 48, 4, 6  # pairs of blocks worth making of fewer rows, in all or in every cell of an index
 LEAST_QUERIES, LEAST_ITEMS = 1024, 8192  # a block is not made smaller for that
 TILE_QUERIES, TILE_ITEMS = 256, 8192  # scores formed at a time in a task
@@ -32,9 +32,29 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
 # vectors against vectors
 
 
-def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks])
-    return flat.astype(np.float64, copy=False).reshape(rows, -1)
+def _matrix(rows: pa.Table, side: str) -> np.ndarray:
+    """The vectors of one side as doubles, from ``<side>_short`` where that holds them and ``<side>_vector`` elsewhere."""
+    wide = rows[f"{side}_vector"]
+    short = rows[f"{side}_short"] if f"{side}_short" in rows.column_names else pa.chunked_array([pa.nulls(rows.num_rows, pa.list_(pa.float32()))])
+
+    def flat(column: pa.ChunkedArray, n: int) -> np.ndarray:
+        numbers = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks])
+        return numbers.astype(np.float64, copy=False).reshape(n, -1)
+
+    if not short.null_count or short.null_count == len(short):
+        return flat(wide if short.null_count else short, rows.num_rows)
+    there = short.is_valid().to_numpy()
+    left, right = flat(short.drop_null(), int(there.sum())), flat(wide.filter(pc.invert(short.is_valid())), int((~there).sum()))
+    out = np.empty((rows.num_rows, left.shape[1]))
+    out[there], out[~there] = left, right
+    return out
+
+
+def _sent(side: str) -> list[Column]:
+    """The vector of a row for its way to the blocks: as floats if these are the same numbers, which halves it, else as doubles."""
+    vector = F.col(f"{side}_vector")
+    same = F.coalesce(F.forall(vector, lambda x: x.cast("float").cast("double").eqNullSafe(x.cast("double"))), F.lit(False))
+    return [F.when(same, vector.cast("array<float>")).alias(f"{side}_short"), F.when(~same, vector).alias(f"{side}_vector")]
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -92,7 +112,7 @@ def _block_search(k: int, metric: str, out_schema: pa.Schema):
         if queries.num_rows == 0 or items.num_rows == 0:
             return out_schema.empty_table()
         items = items.sort_by("item_id")
-        left, right = _matrix(queries["query_vector"], queries.num_rows), _matrix(items["item_vector"], items.num_rows)
+        left, right = _matrix(queries, "query"), _matrix(items, "item")
         if metric == "cosine":
             left, right = _unit(left), _unit(right)
         hidden = _masked(queries, seen, items["item_id"].to_pandas()) if seen is not None and seen.num_rows else None
@@ -149,7 +169,7 @@ def blocked_topk(
     pairs never returned. Both sides of a cell are cut into sub-blocks of bounded size, so a hot cell becomes more tasks
     and not a larger one; each task multiplies one query block by one item block and returns k rows per query. No pair
     table is ever produced. ``seen`` reaches the task that scores the block, so no over-fetching is needed.
-    Every vector is sent once per block of the other side; so blocks hold as many rows as ``BLOCK_NUMBERS`` allows, and
+    Every vector is sent once per block of the other side, as floats where they are the same numbers; so blocks hold as many rows as ``BLOCK_NUMBERS`` allows, and
     fewer only where there would be less than ``BLOCK_PAIRS`` pairs of blocks.
     Returns ``query_id, item_id, score, rank``; for ``l2`` the score is the negative squared distance.
     """
@@ -180,8 +200,8 @@ def blocked_topk(
     keys = ["cell", "query_part", "item_part"]
     placed = items.join(sizes, "cell").withColumn("item_part", block_of("item_id", "item_blocks"))
     asked = queries.join(sizes, "cell").withColumn("query_part", block_of("query_id", "query_blocks"))
-    left = asked.withColumn("item_part", all_blocks("item_blocks")).select(*keys, "query_id", "query_vector")
-    right = placed.withColumn("query_part", all_blocks("query_blocks")).select(*keys, "item_id", "item_vector")
+    left = asked.select("cell", "query_part", "item_blocks", "query_id", *_sent("query")).withColumn("item_part", all_blocks("item_blocks")).drop("item_blocks")
+    right = placed.select("cell", "item_part", "query_blocks", "item_id", *_sent("item")).withColumn("query_part", all_blocks("query_blocks")).drop("query_blocks")
     if seen is not None:
         # a pair concerns one block of queries and one of items; it travels as a row of its own, next to the queries
         pairs = seen.select("query_id", "item_id").where(F.col("query_id").isNotNull() & F.col("item_id").isNotNull())
@@ -190,7 +210,8 @@ def blocked_topk(
         else:
             pairs = pairs.withColumn("cell", F.lit(0)).join(sizes, "cell").withColumn("item_part", block_of("item_id", "item_blocks"))
         pairs = pairs.withColumn("query_part", block_of("query_id", "query_blocks"))
-        marks = pairs.select(*keys, "query_id", F.lit(None).cast(left.schema["query_vector"].dataType).alias("query_vector"), F.col("item_id").alias("seen_item"))
+        empty = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in ("query_short", "query_vector")]
+        marks = pairs.select(*keys, "query_id", *empty, F.col("item_id").alias("seen_item"))
         left = left.withColumn("seen_item", F.lit(None).cast(seen.schema["item_id"].dataType)).unionByName(marks)
 
     out = T.StructType([

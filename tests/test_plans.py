@@ -184,6 +184,34 @@ def test_blocked_topk_sends_a_vector_to_few_blocks(spark, monkeypatch):
     assert met[0] >= 100_000 and met[1] >= 100_000 and sum(met) <= 20 * 100_000
 
 
+@pytest.mark.parametrize("whole", ["all", "some", "none"])
+def test_blocked_topk_sends_floats_where_they_are_the_same_numbers(spark, whole, monkeypatch):
+    search = topk._block_search
+
+    def noting(k, metric, out_schema):
+        inner = search(k, metric, out_schema)
+
+        def run(queries, items):
+            if any(t[f"{side}_vector"].null_count != t.num_rows for t, side in ((queries, "query"), (items, "item"))) and whole == "all":
+                raise AssertionError("a vector of floats was sent as doubles")
+            return inner(queries, items)
+
+        return run
+
+    monkeypatch.setattr(topk, "_block_search", noting)
+    v = np.random.default_rng(3).normal(size=(60, 5))
+    short = np.arange(60) % {"all": 1, "some": 3, "none": 61}[whole] == 0
+    short[0] = whole != "none"
+    v[short] = v[short].astype(np.float32)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id bigint, vector array<double>")
+    got = {(r["query_id"], r["rank"]): (r["item_id"], r["score"]) for r in blocked_topk(as_queries(rows), as_items(rows), 4, query_block=16, item_block=16).collect()}
+    scores = v @ v.T
+    for i in range(60):
+        want = sorted(range(60), key=lambda j: (-scores[i, j], j))[:4]
+        assert [got[i, n + 1][0] for n in range(4)] == want
+        assert [got[i, n + 1][1] for n in range(4)] == pytest.approx([scores[i, j] for j in want], abs=1e-12)
+
+
 @pytest.mark.parametrize("width", [4, 100])
 def test_blocked_topk_over_several_tiles(spark, width, monkeypatch):
     rng = np.random.default_rng(5)
