@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tastemill.functions.scalars import min_max
+from tastemill.session import checkpointed
+
+#: Rows of lists that are ordered in one task.
+PART_ROWS = 1 << 20
 
 # Default component weights of the two request kinds.
 RECOMMEND_WEIGHTS = {"diversity": 0.2, "novelty": 0.2, "popularity": 0.2, "relevance": 0.4}
@@ -23,8 +27,13 @@ def components(lists: DataFrame, item_stats: DataFrame, n_users: int, by: str =
     ``lists(by, item_id, score, category)`` are bounded lists; ``item_stats(item_id, n_users)``. Diversity falls with the
     place of the item among those of its category in the list, novelty is the surprise of the item, popularity its
     damped audience, relevance the given score.
+    The rows are stored and counted: lists of popular items compress so well that the optimizer would put far too many of them in one task.
     """
     rows = lists.join(item_stats.select("item_id", F.col("n_users").alias("_n")), "item_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rows = checkpointed(rows)
+    parts = -(-rows.count() // PART_ROWS)
+    if parts > 1:
+        rows = rows.repartition(max(parts, rows.sparkSession.sparkContext.defaultParallelism), by)
     same = Window.partitionBy(by, "category").orderBy(F.desc("score"), F.asc("item_id"))
     surprise = -F.log2(F.greatest(F.col("_n"), F.lit(1)) / F.lit(float(n_users)))
     rows = rows.withColumn("_surprise", surprise).withColumn("_audience", F.log2(1.0 + F.col("_n")))
