@@ -189,17 +189,20 @@ favlists AS (SELECT f.user_id, p.item_id, CAST(p.n_users AS DOUBLE) AS score, ro
   WHERE NOT EXISTS (SELECT 1 FROM inter x WHERE x.user_id = f.user_id AND x.item_id = p.item_id) QUALIFY rank <= 30)"""
 
 
-def favourites_of(inter: DataFrame, catalog: DataFrame, k: int) -> DataFrame:
+def favourites_of(inter: DataFrame, catalog: DataFrame, popularity: DataFrame, k: int) -> DataFrame:
     """Unseen items of each user's favourite category by number of buyers: one ranking per category."""
-    spent = inter.join(catalog.select("item_id", "category"), "item_id").groupBy("user_id", "category").agg(F.sum("strength").alias("s"))
+    # dealt by the user at once: a user's rows are few to begin with, and both groupings stand on that
+    spent = inter.join(catalog.select("item_id", "category"), "item_id").select("user_id", "category", "strength").repartition("user_id")
+    spent = spent.groupBy("user_id", "category").agg(F.sum("strength").alias("s"))
     readers = spent.groupBy("user_id").agg(F.max(F.struct("s", "category")).alias("top")).select("user_id", F.col("top.category").alias("list_id"))
-    scored = item_popularity(inter).join(catalog, "item_id").select(F.col("category").alias("list_id"), "item_id", F.col("n_users").cast("double").alias("score"))
+    scored = popularity.join(catalog, "item_id").select(F.col("category").alias("list_id"), "item_id", F.col("n_users").cast("double").alias("score"))
     return unseen_heads(readers, inter, rank_lists(scored), k)
 
 
 @query("favourite_category_topk", f"WITH {b.SQL_POPULARITY}, {b.SQL_ITEMS}, {_SQL_FAVOURITE} SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM favlists")
 def favourite_category_topk(spark: SparkSession, d: str) -> DataFrame:
-    return favourites_of(b.stored_interactions(spark, d), b.items(spark, d), 30).select("user_id", "item_id", "score", "rank")
+    inter = b.stored_interactions(spark, d)
+    return favourites_of(inter, b.items(spark, d), item_popularity(inter), 30).select("user_id", "item_id", "score", "rank")
 
 
 @query("hybrid_fuse", f"""WITH {b.SQL_POPULARITY}, {b.SQL_USERS}, {b.SQL_ITEMS}, {b.SQL_UNSEEN.format(source="popularity", k=30)}, {_SQL_FAVOURITE}, {_sql_cold("content_boost")},
@@ -210,9 +213,10 @@ SELECT user_id, item_id, round(s, 6) + 0.0 AS score, CAST(row_number() OVER (PAR
 def hybrid_fuse(spark: SparkSession, d: str) -> DataFrame:
     """Popular items in the role of the collaborative list, the favourite category in the role of the content list."""
     inter = b.stored_interactions(spark, d)
-    popular = rec.popular_unseen(b.users(spark, d), inter, item_popularity(inter), 30)
+    popularity = checkpointed(item_popularity(inter))
+    popular = rec.popular_unseen(b.users(spark, d), inter, popularity, 30)
     lists = popular.select("user_id", F.lit("als").alias("model"), "item_id", "score")
-    lists = lists.unionByName(favourites_of(inter, b.items(spark, d), 30).select("user_id", F.lit("text_embedding").alias("model"), "item_id", "score"))
+    lists = lists.unionByName(favourites_of(inter, b.items(spark, d), popularity, 30).select("user_id", F.lit("text_embedding").alias("model"), "item_id", "score"))
     weights = user_weights(b.users(spark, d), user_history_size(inter), MODELS, normalise(WEIGHTS), THRESHOLD)
     found = fuse(lists, weights.select("user_id", "model", "weight"), 10)
     return found.select("user_id", "item_id", rounded(F.col("score")).alias("score"), "rank")

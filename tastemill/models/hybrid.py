@@ -69,11 +69,19 @@ def fuse(lists: DataFrame, weights: DataFrame, k: int) -> DataFrame:
 
     ``lists(user_id, model, item_id, score)``, ``weights(model, weight)`` or ``weights(user_id, model, weight)``.
     """
+    # A user's lists are dealt out once, by the user: the windows, the join, the groups and the last cut all stand on that.
+    lists = lists.repartition("user_id") if "user_id" in weights.columns else lists
     pool = top_k(lists, ["user_id", "model"], [F.desc("score"), F.asc("item_id")], k * POOL_FACTOR, "_r").drop("_r")
     per_list = Window.partitionBy("user_id", "model")  # at most POOL_FACTOR * k rows
     scaled = pool.withColumn("_s", min_max(F.col("score"), F.min("score").over(per_list), F.max("score").over(per_list)))
-    on = ["user_id", "model"] if "user_id" in weights.columns else ["model"]
-    weighted = scaled.join(weights.where(F.col("weight") > MIN_WEIGHT), on)
+    heavy = weights.where(F.col("weight") > MIN_WEIGHT)
+    if "user_id" in weights.columns:
+        # one row per user, so that the join is by the user alone
+        own = heavy.where(F.col("model").isNotNull()).groupBy("user_id", "model").agg(F.max("weight").alias("weight"))
+        own = own.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("model", "weight"))).alias("_w"))
+        weighted = scaled.join(own, "user_id").withColumn("weight", F.col("_w")[F.col("model")]).where("weight IS NOT NULL")
+    else:
+        weighted = scaled.join(heavy, "model")
     best = weighted.groupBy("user_id", "item_id").agg(F.max(F.col("_s") * F.col("weight")).alias("score"))
     return top_k(best, ["user_id"], [F.desc("score"), F.asc("item_id")], k)
 

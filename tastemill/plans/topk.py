@@ -258,7 +258,8 @@ def unseen_heads(users: DataFrame, seen: DataFrame, ranking: DataFrame, k: int,
     places = ranking.select(*key, "item_id", "item_rank")
     pairs = seen.select("user_id", "item_id")
     marked = pairs.join(users, "user_id").join(places, ["list_id", "item_id"]) if listed else pairs.join(places, "item_id").join(users, "user_id")
-    marked = marked.select("user_id", *key, "item_rank")
+    # written once: both uses below would join all pairs, which takes two shuffles, on their own
+    marked = checkpointed(marked.select("user_id", *key, "item_rank"))
     sizes = marked.groupBy("user_id").agg(F.count("*").alias("_h"))
     # rank r of a user with h seen items has at least r - h unseen ranks before it
     relevant = marked.join(sizes, "user_id").where(F.col("item_rank") <= F.col("_h") + k).drop("_h")

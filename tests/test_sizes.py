@@ -73,3 +73,23 @@ def test_submitted_master_is_kept(tmp_path):
     run = lambda args: subprocess.run(args, env=env | {"PYSPARK_PYTHON": sys.executable}, capture_output=True, text=True, timeout=120).stdout
     assert "MASTER local[3]" in run([*submit, "--master", "local[3]", str(script)])
     assert "MASTER local[*]" in run([sys.executable, str(script)])
+
+
+def plan_of(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_of_a_user_are_dealt_once_for_the_fusion(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("u", "als", 1, 4.0), ("u", "als", 2, 2.0), ("u", "text", 2, 9.0), ("u", "text", 3, 3.0), ("v", "als", 1, 1.0), (None, "als", 1, 1.0), ("w", "als", 5, 1.0), ("u", None, 4, 1.0)]
+        lists = spark.createDataFrame(rows, "user_id string, model string, item_id int, score double")
+        given = [("u", "als", 0.5), ("u", "als", 0.25), ("u", "text", 0.75), ("v", "als", 0.0005), ("v", None, 1.0), (None, "als", 1.0)]
+        weights = spark.createDataFrame(given, "user_id string, model string, weight double")
+        fused = fuse(lists, weights, 5)
+        assert sorted(map(tuple, fused.select("user_id", "item_id", "score", "rank").collect())) == [("u", 1, 0.5, 2), ("u", 2, 0.75, 1), ("u", 3, 0.0, 3)]
+        dealt = [line for line in plan_of(fused).splitlines() if "Exchange hashpartitioning" in line]
+        assert not any("item_id" in line for line in dealt) and len(dealt) <= 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
