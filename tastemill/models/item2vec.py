@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tastemill.models import skipgram
-from tastemill.models.base import Recommender, register, vector_topk
-from tastemill.operators.profiles import lookup_vectors_zero, mean_profile
+from tastemill.models.base import Recommender, register
+from tastemill.operators.ann import as_items, as_queries
+from tastemill.operators.profiles import lookup_vectors_zero, mean_profile_by_blocks
 from tastemill.plans.ordered import chunk_scan
+from tastemill.plans.topk import blocked_topk
+from tastemill.session import checkpointed
 
 
 def history_places(inter: DataFrame) -> DataFrame:
@@ -39,6 +42,7 @@ class Item2VecModel(Recommender):
             words = sentences.select(F.explode("sentence").alias("item"))
         else:
             places = history_places(inter) if sessions is None else sessions.select(F.struct("user_id", "session_no").alias("session"), "pos", F.col("item_id").alias("item"))
+            places = checkpointed(places)  # read for the centres, the contexts and the counts
             pairs = skipgram.window_pairs(places, p["window"])
             words = places
         counts = words.groupBy("item").agg(F.count(F.lit(1)).alias("many"))
@@ -57,7 +61,8 @@ class Item2VecModel(Recommender):
 
 
 def profile_recommend(users: DataFrame, history: DataFrame, item_vectors: DataFrame, dim: int, k: int, exclude_seen: bool = True) -> DataFrame:
-    """Cosine of the mean vector of a user's items to every unseen item."""
-    own = history.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    profiles = mean_profile(own, item_vectors, dim)
-    return vector_topk(users, profiles, item_vectors, own if exclude_seen else None, k, "cosine")
+    """Cosine of the mean vector of a user's items to every unseen item. Histories and profiles are stored, because the search reads its queries twice."""
+    own = checkpointed(history.join(users.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "item_id"))
+    profiles = checkpointed(mean_profile_by_blocks(own, item_vectors, dim))
+    seen = own.select(F.col("user_id").alias("query_id"), "item_id") if exclude_seen else None
+    return blocked_topk(as_queries(profiles, "user_id"), as_items(item_vectors), k, "cosine", seen).withColumnRenamed("query_id", "user_id")

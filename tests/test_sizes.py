@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tastemill.functions.vectors import WIDE, mean_vectors
 from tastemill.models.als import ALSModel, blocks_for
 from tastemill.models.hybrid import fuse
+from tastemill.models.item2vec import profile_recommend
+from tastemill.operators import profiles
 from tastemill.operators.gram import item_gram
 from tastemill.operators.recommend import Filters, buffered_k
 from tastemill.operators.sequences import sessionize
@@ -93,3 +95,27 @@ def test_lists_of_a_user_are_dealt_once_for_the_fusion(spark):
         assert not any("item_id" in line for line in dealt) and len(dealt) <= 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+@pytest.mark.parametrize("dim", [3, WIDE + 1])
+@pytest.mark.parametrize("numbers", [None, 8])
+def test_profiles_by_blocks_are_the_means(spark, monkeypatch, dim, numbers):
+    pairs = [(u, i) for u in range(9) for i in range(12) if (u * i) % 5 < 3] + [(None, 1), (3, None), (4, 99), (5, 2), (77, 99)]
+    inter = spark.createDataFrame(pairs, "user_id bigint, item_id bigint")
+    vectors = [(i, [float(i * j % 7) for j in range(dim)]) for i in range(10)] + [(2, [1.0] * dim), (10, None), (11, [None] * dim)]
+    vectors = spark.createDataFrame(vectors, "item_id bigint, vector array<double>")
+    if numbers:  # many blocks, and every user is too large for one
+        monkeypatch.setattr("tastemill.plans.skew.BLOCK_NUMBERS", numbers * dim)
+        monkeypatch.setattr("tastemill.operators.profiles.PIECE", 2 * dim)
+    found = {r["user_id"]: r["vector"] for r in profiles.mean_profile_by_blocks(inter, vectors, dim).collect()}
+    wanted = {r["user_id"]: r["vector"] for r in profiles.mean_profile(inter.where("user_id IS NOT NULL"), vectors, dim).collect()}
+    assert set(found) == set(wanted) and 77 not in found
+    assert all(found[u] == pytest.approx(wanted[u], abs=1e-12) for u in wanted)
+
+
+def test_no_vector_is_shuffled_per_row_for_a_profile(spark):
+    history = spark.createDataFrame([(u, i) for u in range(5) for i in range(4)], "user_id bigint, item_id bigint")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "item_id bigint, vector array<double>")
+    found = profile_recommend(history.select("user_id"), history, vectors, 2, 2)
+    assert "user_id" not in "".join(x for x in plan_of(found).splitlines() if "Aggregate" in x)  # profiles are read from a table
+    assert {(r["user_id"], r["item_id"]) for r in found.collect()} == {(u, i) for u in range(5) for i in (4, 5)}
