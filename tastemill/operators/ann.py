@@ -19,6 +19,7 @@ INDEX_TYPES = ("Flat", "IVF_Flat", "IVF_HNSW")
 DEFAULT_NLIST = 100
 DEFAULT_NPROBE = 10
 CELL_ROWS = 10  # vectors needed per cell
+CELL_FILES = 4  # most files of a cell in one write
 
 MAX_CELLS = 65_536
 
@@ -119,9 +120,11 @@ class VectorIndex:
 
     def save(self, path: str) -> None:
         spark = self.vectors.sparkSession
-        writer = self.vectors.write
-        (writer.partitionBy("cell") if self.centroids is not None else writer).parquet(f"{path}/vectors")
-        if self.centroids is not None:
+        if self.centroids is None:
+            self.vectors.write.parquet(f"{path}/vectors")
+        else:
+            # dealt by cell, a cell over a few tasks: else every task would write a file for every cell
+            self.vectors.repartition("cell", F.pmod(F.xxhash64("item_id"), F.lit(CELL_FILES))).write.partitionBy("cell").parquet(f"{path}/vectors")
             self.centroids.write.parquet(f"{path}/centroids")
         write_text(spark, f"{path}/index.json", json.dumps({"index_type": self.index_type, "metric": self.metric, "nprobe": self.nprobe}))
 

@@ -13,6 +13,7 @@ from tastemill.models.als import ALSModel, blocks_for
 from tastemill.models.hybrid import fuse
 from tastemill.models.item2vec import profile_recommend
 from tastemill.operators import profiles
+from tastemill.operators.ann import VectorIndex
 from tastemill.operators.gram import item_gram
 from tastemill.operators.recommend import Filters, buffered_k
 from tastemill.operators.sequences import sessionize
@@ -119,3 +120,12 @@ def test_no_vector_is_shuffled_per_row_for_a_profile(spark):
     found = profile_recommend(history.select("user_id"), history, vectors, 2, 2)
     assert "user_id" not in "".join(x for x in plan_of(found).splitlines() if "Aggregate" in x)  # profiles are read from a table
     assert {(r["user_id"], r["item_id"]) for r in found.collect()} == {(u, i) for u in range(5) for i in (4, 5)}
+
+
+def test_an_index_has_few_files_per_cell(spark, tmp_path):
+    rows = spark.range(400).select(F.col("id").alias("item_id"), (F.col("id") % 3).cast("int").alias("cell"), F.array(F.col("id").cast("double")).alias("vector")).repartition(16)
+    centroids = spark.createDataFrame([(c, [float(c)]) for c in range(3)], "cell int, vector array<double>")
+    VectorIndex.from_cells(rows, centroids, "l2", 1).save(str(tmp_path / "index"))
+    files = [len(list((tmp_path / f"index/vectors/cell={c}").glob("*.parquet"))) for c in range(3)]
+    assert max(files) <= 4  # 16 tasks wrote one for each
+    assert VectorIndex.load(spark, str(tmp_path / "index")).vectors.count() == 400
