@@ -552,6 +552,47 @@ def test_every_exact_repeat_is_covered(spark):
     assert sum(map(len, want.values())) > 500
 
 
+def test_seeds_that_stand_elsewhere_first_hide_no_passage(spark):
+    """Pieces of eight words, each in two documents before, between changed words: every seed has two other holders, no piece has 12 words."""
+    random.seed(12)
+    word = lambda n: [f"e{random.randint(0, 10**7)}" for _ in range(n)]
+    pieces = [word(8) for _ in range(8)]
+    docs = [(10 * k + i, word(20) + piece + word(20)) for k, piece in enumerate(pieces) for i in (0, 1)]
+    fuzzy = lambda: [w for piece in pieces for w in piece + word(1)]
+    docs += [(i, word(15) + fuzzy() + word(15)) for i in (100, 200, 300)]
+    got = covered(spark, docs)
+    assert [got[i].sources for i in (100, 200, 300)] == [[], [100], [100, 200]]
+    assert all(68 <= got[i].n_covered <= 72 and got[i].n_spans == 1 for i in (200, 300))
+    assert sum(r.n_covered > 0 for r in got.values()) == 2
+
+
+def test_a_sentence_of_many_documents_hides_no_passage(spark):
+    """The sentence is left out of what pairs documents; passages around it are found, in all their holders."""
+    random.seed(13)
+    word = lambda n: [f"h{random.randint(0, 10**7)}" for _ in range(n)]
+    line, rest = word(17), [word(40) for _ in range(10)]
+    docs = [(i, word(30) + line + word(30)) for i in range(60)]
+    docs += [(100 + 10 * j + k, word(9) + rest[k][:20] + line + [w if n % 6 else "other" for n, w in enumerate(rest[k][20:], j)] + word(9)) for j in range(3) for k in range(10)]
+    got = covered(spark, docs)
+    assert all(got[i].n_covered == 0 for i in range(60)) and all(got[100 + k].n_covered == 0 for k in range(10))
+    for j in (1, 2):
+        for k in range(10):
+            assert got[100 + 10 * j + k].sources == [100 + 10 * i + k for i in range(j)] and got[100 + 10 * j + k].n_covered >= 50
+    pairs = chaining.candidates(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc bigint, text string")).collect()
+    assert len(pairs) == 30
+
+
+def test_no_choice_of_left_out_strings_hides_a_passage():
+    for n in range(chaining.LENGTH, 3000):
+        whole, rest = divmod(n - chaining.SIGN + 1, chaining.REACH)
+        assert chaining.fewest_signs(n) >= chaining.FEWEST_SIGNS and chaining.fewest_signs(n) - whole * chaining.LEFT_OUT - min(chaining.LEFT_OUT, rest) >= chaining.FEWEST_LEFT
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        at = np.sort(rng.choice(600, 400, replace=False))
+        out = at[chaining.left_out(at, rng.integers(1, 40, len(at)))]
+        assert len(out) and max(np.searchsorted(out, out + chaining.REACH) - np.arange(len(out))) <= chaining.LEFT_OUT
+
+
 def test_copies_are_covered_whole(spark):
     random.seed(10)
     words = [f"c{random.randint(0, 10**7)}" for _ in range(70)]
@@ -573,6 +614,16 @@ def test_chains_match_quadratic_search():
         assert abs(value - max(best)) < 1e-9
 
 
+def test_rising_matches_chain_as_others_do():
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randint(1, 25)
+        points = list(zip(*(sorted(rng.sample(range(400), n)) for _ in range(2)), strict=True))
+        # two far matches at one place take the general way and chain with nothing
+        other = [line for line in chaining.chains([*points, (10**6, 10**6), (10**6, 2 * 10**6)]) if line[0][0] < 10**6]
+        assert sorted(chaining.chains(points)) == sorted(other)
+
+
 # ---------------------------------------------------------------------------------------------------------- vectors
 
 
